@@ -59,7 +59,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
         return [None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` holds about ``limit`` bytes (one row may be more)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
@@ -114,7 +114,7 @@ class Rolling:
     def prefix(self, values: np.ndarray) -> np.ndarray:
         n = len(values) + 1
         if n > len(self.up):
-            self.up, self.down = powers(self.base, 2 * n), powers(self.inverse, 2 * n)
+            self.up, self.down = powers(self.base, n + (n >> 3)), powers(self.inverse, n + (n >> 3))
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(values * self.down[: n - 1], out=out[1:])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, packing, sharding, simhash, substring, topk, toxicity
+from . import bpe, embedding_dedup, lines, packing, pii, sharding, simhash, substring, topk, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op2_packing": packing.op2,
+    "op3_pii": pii.op3,
     "op4_sharding": sharding.op4,
     "op5_exact_top_k": topk.op5,
     "op6_substring_dedup": substring.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_byte_level_bpe": bpe.op8,
+    "op9_line_dedup": lines.op9,
     "op10_toxicity": toxicity.op10,
 }
 

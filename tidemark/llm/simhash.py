@@ -13,7 +13,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from ._common import cells, components, drop, forest, groups, large, neighbours, save
@@ -86,7 +86,7 @@ def _verify(distance: int):
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(f, component_id) for the fingerprints of ``prints`` (doc_id, fingerprint): the smallest doc_id that can be reached
+    """(f, component, component_id) for the fingerprints of ``prints`` (doc_id, fingerprint): the smallest doc_id that can be reached
     over links of at most ``distance`` differing bits.
 
     Equal fingerprints are one node, so copies add nothing to the search. A variant shared by many different
@@ -101,7 +101,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     known = distinct.join(parts, F.col("f") == F.col("node"), "left").select("f", "first_id", F.coalesce("component", "f").alias("component"))
     known = save(known, "simhash-parts", prints.sparkSession)
     least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return known.select("f", "component").join(least, "component").select("f", "component_id")
+    return known.select("f", "component").join(least, "component").select("f", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -115,6 +115,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(classes(prints, distance), F.col("fingerprint") == F.col("f"), "left").select("doc_id", "fingerprint", "component_id")
 
 
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class: the one with the smallest doc_id, then text hash. All columns stay.
+
+    Of repeated rows one stays; a null doc_id comes last; documents with null or empty texts are one class.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), _fingerprints(F.col("text")).alias("fingerprint"))
+    prints = save(rows, "fingerprints", spark)
+    found = prints.join(classes(prints, distance), F.col("fingerprint") == F.col("f"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("d"), F.col("k.digest").alias("g"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"))
+    stays = whole.join(first, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi")
+    one = stays.withColumn("nth", F.row_number().over(Window.partitionBy("i", "h").orderBy(F.lit(0)))).where("nth = 1")
+    return one.select("row.*")
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

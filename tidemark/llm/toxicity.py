@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = known.where(F.crc32(F.col("i").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("i"), "i", "toxic").limit(sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             row, bucket = terms(batch.column("text"))
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))], ["i", "toxic", "terms"])
@@ -143,7 +143,7 @@ def score_column(text, machine: Machine, spark):
 
     @F.arrow_udf(DoubleType())
     def score(batch: pa.Array) -> pa.Array:
-        parts = slices([pa.RecordBatch.from_arrays([batch], ["t"])], "t", 8 << 20)
+        parts = slices([pa.RecordBatch.from_arrays([batch], ["t"])], "t")
         return pa.array(np.concatenate([np.zeros(0), *(model.value.score(p.column(0)) for p in parts)]))
 
     return score(text)
