@@ -18,69 +18,118 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import drop, save, slices, texts
+from ._common import Rolling, flat, lower_ascii, mix, save, slices
 
 WINDOW = 2048
-#: Words remembered by a Python worker; when full it starts anew. Bounds memory only, never results.
-CACHED_WORDS = 600_000
-#: Longer words aren't remembered.
-LONGEST_CACHED = 64
+#: Runs that a Python worker remembers; beyond them it starts anew. Bounds memory only, never results.
+CACHED_RUNS = 1_500_000
 _PART = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_CLASS = np.full(256, _MARK, np.int8)
+_CLASS[[32, *range(9, 14)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+#: Bytes of words that are kept in one piece: apostrophes, and all but ASCII and the two-byte letters from U+00C0 to U+024F.
+_ODD = np.zeros(256, bool)
+_ODD[[39, *range(0xC0, 0xC3), *range(0xCA, 256)]] = True
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer file whose pre-tokenizer never joins across a space or a line break.
+    """Ids of whole texts by a tokenizer file that lower-cases, parts runs of letters, digits and other marks, and never
+    joins across a space.
 
-    Such texts are tokenized word by word, and each word's ids are remembered. Strings of special tokens in a text are
-    ordinary text. Unknown words are encoded many at a time, with a special token between them that ordinary text
-    can't produce.
+    Each Arrow batch is cut at those places with numpy (words with apostrophes or letters beyond Latin only at spaces),
+    and only runs that this worker has not met are tokenized, many at a time, with a special token between them that
+    ordinary text can't produce. Known runs are found by a 64-bit hash in one sorted array. Strings of special tokens
+    in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        special = {t.content: i for i, t in self.plain.get_added_tokens_decoder().items()}
+        self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = min(special.items(), key=lambda x: x[1])
-        self.lead = self.mark[:2]
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.plain.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: Iterable[str]) -> None:
-        usual = []
-        for w in words:
-            if self.lead in w:
-                self.cache[w] = self._one(w)
-            else:
-                usual.append(w)
-        for i in range(0, len(usual), 2000):
-            part = usual[i : i + 2000]
-            ids = np.array(self.marked.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(raw)], strict=True):
-                self.cache[w] = raw[a:b]
-
-    def encode_batch(self, batch: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers; null is empty."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in batch]
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-            cache[""] = b""
-        new = set().union(*split).difference(cache)
-        self.learn(w for w in new if len(w) <= LONGEST_CACHED)
-        long = {w: self._one(w) for w in new if len(w) > LONGEST_CACHED}
-        if long:
-            return [b"".join([cache[w] if w in cache else long[w] for w in words]) for words in split]
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _encode(self, runs: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(runs), 1000):
+            part = runs[i : i + 1000]
+            if any(self.mark[:2] in x and len(x) > 2 for x in part):  # could be taken for a special token
+                self.tokenizer.encode_special_tokens = True
+                out += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in part]
+                continue
+            self.tokenizer.encode_special_tokens = False
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            out += [ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
+
+    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
+        found = self._encode(runs)
+        count = np.array([len(x) for x in found], np.int64)
+        first = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *found])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers; a null is empty."""
+        if len(self.keys) > CACHED_RUNS or len(self.pool) > 8 * CACHED_RUNS:
+            self.clear()
+        data, offsets = flat(column)
+        kind = _CLASS[data]
+        before = np.zeros_like(kind)
+        before[1:] = kind[:-1]
+        edge = offsets[1:-1][offsets[1:-1] < len(data)]  # where a text starts
+        before[edge] = 0
+        starts = (kind != 0) & (kind != before)
+        odd = _ODD[data]
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        if odd.any():
+            word = np.cumsum((kind != 0) & (before == 0))
+            starts &= (before == 0) | ~np.isin(word, np.unique(word[odd]))
+        stops = kind != 0
+        stops[:-1] &= (kind[1:] == 0) | starts[1:]
+        start, end = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+        inverse, unique = pd.factorize(_run_hashes(lower_ascii(data), start, end))
+        at = np.empty(len(unique), np.int64)
+        at[inverse[::-1]] = np.arange(len(inverse))[::-1]
+        place = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != unique[place < len(self.keys)]
+        if new.any():
+            raw = data.tobytes()
+            runs = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            self._learn(unique[new], runs)
+            place = np.searchsorted(self.keys, unique)
+        lengths = self.count[place][inverse]
+        upto = np.r_[0, np.cumsum(lengths)]
+        ids = self.pool[np.repeat(self.first[place][inverse] - upto[:-1], lengths) + np.arange(upto[-1])].astype("<u4").tobytes()
+        rows = (4 * upto[np.searchsorted(start, offsets)]).tolist()
+        return [ids[a:b] for a, b in zip(rows, rows[1:])]
+
+
+_ROLL = Rolling(0x9E6C63D0876A9A47)
+
+
+def _run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        sums = _ROLL.prefix(data.astype(np.uint64) + np.uint64(1))
+        return mix(_ROLL.runs(sums, start, end) + (end - start).astype(np.uint64))
 
 
 @lru_cache(maxsize=4)
@@ -100,10 +149,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
         coder, part = tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             rows: list[tuple] = []
             ids_of: list[bytes] = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), coder.encode_batch(texts(batch.column("text"))), strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")), strict=True):
                 raw += end
                 total = len(raw) // 4
                 for start in range(0, total, window):
