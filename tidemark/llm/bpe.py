@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import slices, texts
 
 #: Pieces remembered by a Python worker; when full it starts anew. Bounds memory only, never results.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 #: Cells (pieces times positions) of the trees that are worked at once.
 CELLS = 1 << 16
 #: Fewer pieces than this are merged one by one.
@@ -199,60 +199,52 @@ def encoder(ranks_path: str, pattern: str) -> BytePairEncoder:
         return BytePairEncoder(read_ranks(SparkFiles.get(ranks_path.rsplit("/", 1)[-1])), pattern)
 
 
-def encode_column(column, ranks_path: str, pattern: str):
-    """array<int> of the ids of a string column; null texts count as empty."""
-
-    @F.arrow_udf("array<int>")
-    def encode(batch: pa.Array) -> pa.Array:
-        coder, out = encoder(ranks_path, pattern), []
-        for part in slices([pa.RecordBatch.from_arrays([batch], ["t"])], "t", 4 << 20):
-            ids = coder.encode_batch(texts(part.column(0)))
-            values = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-            out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(values)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
-
-    return encode(column)
-
-
-def decode_column(column, ranks_path: str, pattern: str):
-    """binary: the bytes that an array of ids stands for; null for null."""
-
-    @F.arrow_udf("binary")
-    def decode(batch: pa.Array) -> pa.Array:
-        coder = encoder(ranks_path, pattern)
-        return pa.array([None if x is None else coder.decode(x) for x in batch.to_pylist()], pa.binary())
-
-    return decode(column)
+def encode_batches(batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, text) as (key, ids); about a megabyte of text at a time."""
+    coder = encoder(ranks_path, pattern)
+    for part in slices(batches, "text"):
+        ids = coder.encode_batch(texts(part.column("text")))
+        ends = np.cumsum([0, *map(len, ids)])
+        values = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [part.schema.names[0], "ids"])
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, ids) as (key, text), the bytes that the ids stand for; null for null."""
+    coder = encoder(ranks_path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else coder.decode(x) for x in part.column("ids").to_pylist()], pa.binary())], [part.schema.names[0], "text"])
+
+
+def digest_batches(batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, ids) as (key, n_tokens, ids_sha256, decoded_sha256)."""
+    coder = encoder(ranks_path, pattern)
+    names = _decimal(len(coder.table))
+    for batch in batches:
+        ends, values = batch.column("ids").offsets.to_numpy().tolist(), batch.column("ids").values
+        counts, shas, decoded = [], [], []
+        for a, b in zip(ends, ends[1:]):
+            own = values.slice(a, b - a).to_numpy().tolist()
+            counts.append(len(own))
+            shas.append(hashlib.sha256(b" ".join(map(names.__getitem__, own))).hexdigest())
+            decoded.append(hashlib.sha256(coder.decode(own)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every document; other columns are ignored. A null text has no ids; a null key and
     repeated rows are kept as they are; an empty table gives an empty one. Narrow: no shuffle."""
-    return docs.select(F.col(key), encode_column(F.col(text), ranks_path, pattern).alias("ids"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda batches: encode_batches(batches, ranks_path, pattern), f"key {rows.dtypes[0][1]}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) from :func:`encode`'s result: the exact bytes of every text that is valid UTF-8."""
-    return encoded.select(F.col(key), decode_column(F.col(ids), ranks_path, pattern).cast("string").alias("text"))
-
-
-def digest_column(ids, ranks_path: str, pattern: str):
-    """struct<n_tokens, ids_sha256, decoded_sha256> of an array of ids."""
-
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digest(batch: pa.Array) -> pa.Array:
-        coder = encoder(ranks_path, pattern)
-        names = _decimal(len(coder.table))
-        counts, shas, texts_ = [], [], []
-        ends, values = batch.offsets.to_numpy(), batch.values
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            own = values.slice(a, b - a).to_numpy().tolist()
-            counts.append(len(own))
-            shas.append(hashlib.sha256(b" ".join(map(names.__getitem__, own))).hexdigest())
-            texts_.append(hashlib.sha256(coder.decode(own)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts_, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return digest(ids)
+    """(key, text) from :func:`encode`'s result: the exact bytes of every text that is valid UTF-8; null for null."""
+    rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    found = rows.mapInArrow(lambda batches: decode_batches(batches, ranks_path, pattern), f"key {rows.dtypes[0][1]}, text binary")
+    return found.select(F.col("key").alias(key), F.col("text").cast("string").alias("text"))
 
 
 @lru_cache(maxsize=2)
@@ -261,10 +253,9 @@ def _decimal(n: int) -> list[bytes]:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document. Encoding, decoding and digests share one pass, so that ids don't leave Python."""
     import public_tokenizers as tokenizers
 
     path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id", digest_column(encode_column(F.col("text"), path, pattern), path, pattern).alias("d"))
-    return found.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return rows.mapInArrow(lambda batches: digest_batches(encode_batches(batches, path, pattern), path, pattern), f"doc_id {rows.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
