@@ -1,6 +1,519 @@
-"""The registered queries over the version log, and their SQL."""
+"""The registered queries over the version log, each over its whole tables, and their SQL.
+
+The event log as versions (EV): key user_id, sequence event_id + 1, a delete for 'error' and a put for other events, payload
+value and ts. A manifest of files (FILES) is derived from parts: overlapping in level 0, and in the others as it comes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import codec, stats
+from ..functions.intervals import Intervals
+from ..operators import batch, compaction, levels, views
+from ..operators.ordering import global_row_number, union
+from ..operators.views import Names
+from ..options import Options
+
+SNAPSHOT, EARLIER = 700, 300
+OPTIONS = Options(level0_trigger=4, level_base_bytes=4_000, level_multiplier=2)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_EV = "ev AS (SELECT user_id AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS t, value AS v, ts FROM events)"
+_LIVE = "live AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1)"
+_FILES = "files AS (SELECT CAST(p_partkey % 4 AS INTEGER) AS level, p_partkey AS number, p_partkey * 7919 % 100000 AS lo, p_partkey * 7919 % 100000 + p_size * 8 AS hi, CAST(p_size * 10 AS BIGINT) AS size FROM part)"
+_RUNS = "runs AS (SELECT *, (seq - 1) // 100 AS run FROM ev)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV."""
+    kind = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), (F.col("event_id") + 1).alias("seq"), kind.alias("t"), F.col("value").alias("v"), "ts")
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FILES."""
+    key, lo = F.col("p_partkey"), F.col("p_partkey") * 7919 % 100000
+    return table(spark, sf_dir, "part").select((key % 4).cast("int").alias("level"), key.alias("number"), lo.alias("lo"), (lo + F.col("p_size") * 8).alias("hi"), (F.col("p_size") * 10).cast("long").alias("size"))
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name, with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- views --------------------------------------------------------------------------------------------------------
+
+
+@query("latest_view", f"WITH {_EV}, {_LIVE} SELECT k, seq, v, ts FROM live")
+def latest_view(spark, d):
+    return views.latest(events_log(spark, d)).select("k", "seq", "v", "ts")
+
+
+@query("snapshot_view", f"WITH {_EV} SELECT k, seq, v, ts FROM ev WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1")
+def snapshot_view(spark, d):
+    return views.latest(events_log(spark, d), SNAPSHOT).select("k", "seq", "v", "ts")
+
+
+_STATUS = "CASE WHEN t IS NULL THEN 'NotFound' WHEN t = 0 THEN 'Deleted' ELSE 'OK' END AS status"
+
+
+def _multi(probes: str, where: str = "TRUE") -> str:
+    return f"""WITH {_EV}, newest AS (SELECT * FROM ev WHERE {where} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1), probes AS ({probes})
+        SELECT p.k, seq, CASE WHEN t = 1 THEN v END AS v, {_STATUS} FROM probes p LEFT JOIN newest n ON p.k = n.k"""
+
+
+def _statuses(log, probes, as_of=None):
+    return views.multi_get(log, probes, as_of).select("k", "seq", F.when(F.col("t") == 1, F.col("v")).alias("v"), "status")
+
+
+@query("multi_get_status", _multi("SELECT DISTINCT c_custkey // 5 AS k FROM customer"))
+def multi_get_status(spark, d):
+    return _statuses(events_log(spark, d), table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 5).cast("long").alias("k")))
+
+
+@query("multi_get_at_snapshot", _multi("SELECT DISTINCT c_custkey // 5 AS k FROM customer", f"seq <= {SNAPSHOT}"))
+def multi_get_at_snapshot(spark, d):
+    return _statuses(events_log(spark, d), table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 5).cast("long").alias("k")), SNAPSHOT)
+
+
+@query("point_get", _multi("SELECT min(k) AS k FROM (SELECT k FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1 AND t = 1)"))
+def point_get(spark, d):
+    log = events_log(spark, d)
+    key = views.first_last(log).first()["first_key"]
+    return views.get(log, key).select("k", "seq", "v", F.lit("OK").alias("status"))
+
+
+@query("point_get_deleted", f"WITH {_EV}, newest AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1) SELECT min(k) AS k, CAST(0 AS BIGINT) AS live FROM newest WHERE t = 0")
+def point_get_deleted(spark, d):
+    log = events_log(spark, d)
+    key = views.newest(log).where("t = 0").agg(F.min("k")).first()[0]
+    return views.get(log, key).agg(F.count(F.lit(1)).alias("live")).select(F.lit(key).cast("long").alias("k"), "live")
+
+
+@query("point_get_missing", "SELECT CAST(0 AS BIGINT) AS live")
+def point_get_missing(spark, d):
+    return views.get(events_log(spark, d), -1).agg(F.count(F.lit(1)).alias("live"))
+
+
+@query("range_scan", f"WITH {_EV}, {_LIVE} SELECT k, seq, v FROM live WHERE k >= 5 AND k < 90")
+def range_scan(spark, d):
+    return views.range_scan(events_log(spark, d), 5, 90).select("k", "seq", "v")
+
+
+_CUSTOMERS = Names("c_name", "seq", "t")
+
+
+def customer_log(spark, d):
+    return table(spark, d, "customer").select("c_name", (F.col("c_custkey") + 1).alias("seq"), F.when(F.col("c_acctbal") < 0, 0).otherwise(1).alias("t"), "c_acctbal")
+
+
+@query("prefix_scan", "SELECT c_name, c_acctbal FROM customer WHERE starts_with(c_name, 'Customer#0000000') AND c_acctbal >= 0")
+def prefix_scan(spark, d):
+    return views.prefix_scan(customer_log(spark, d), "Customer#0000000", names=_CUSTOMERS).select("c_name", "c_acctbal")
+
+
+@query("reverse_scan_top_k", f"WITH {_EV}, {_LIVE} SELECT k, seq, v FROM live ORDER BY k DESC LIMIT 10")
+def reverse_scan_top_k(spark, d):
+    return views.reverse_scan(events_log(spark, d), 10).select("k", "seq", "v")
+
+
+@query("seek_first_last", f"WITH {_EV}, {_LIVE} SELECT min(k) AS first_key, max(k) AS last_key FROM live")
+def seek_first_last(spark, d):
+    return views.first_last(events_log(spark, d))
+
+
+@query("seek_ge", f"WITH {_EV}, {_LIVE} SELECT k, seq, v FROM live WHERE k >= 6 ORDER BY k LIMIT 1")
+def seek_ge(spark, d):
+    return views.seek(events_log(spark, d), 6).select("k", "seq", "v")
+
+
+@query("next_prev_key", f"WITH {_EV}, {_LIVE} SELECT k, lag(k) OVER (ORDER BY k) AS prev_key, lead(k) OVER (ORDER BY k) AS next_key FROM live")
+def next_prev_key(spark, d):
+    return views.next_previous(events_log(spark, d))
+
+
+@query("all_versions_internal_order", f"WITH {_EV} SELECT row_number() OVER (ORDER BY k, seq DESC, t DESC) AS pos, k, seq, t FROM ev")
+def all_versions(spark, d):
+    return views.internal_order(events_log(spark, d)).select("pos", "k", "seq", "t")
+
+
+@query("version_history_stats", f"WITH {_EV} SELECT k, count(*) AS n_versions, count(*) FILTER (t = 0) AS n_deletes, min(seq) AS min_seq, max(seq) AS max_seq FROM ev GROUP BY k")
+def version_history(spark, d):
+    return views.history(events_log(spark, d))
+
+
+@query(
+    "change_feed",
+    f"""WITH {_EV}, a AS (SELECT * FROM ev WHERE seq <= {EARLIER} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1),
+        b AS (SELECT * FROM ev WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1)
+        SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' ELSE 'update' END AS change, a.v AS old, b.v AS new
+        FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.seq IS DISTINCT FROM b.seq""",
+)
+def change_feed(spark, d):
+    return views.changes(events_log(spark, d), EARLIER, SNAPSHOT, "v")
+
+
+_OVERLAY = """base AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS seq, 1 AS t, o_totalprice AS v FROM orders),
+        delta AS (SELECT event_id * 3 AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS t, value AS v FROM events),
+        merged AS (SELECT * FROM base UNION SELECT * FROM delta)"""
+
+
+def overlay_log(spark, d):
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("seq"), F.lit(1).alias("t"), F.col("o_totalprice").alias("v"))
+    kind = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    delta = table(spark, d, "events").select((F.col("event_id") * 3).alias("k"), (F.col("event_id") + 1).alias("seq"), kind.alias("t"), F.col("value").alias("v"))
+    return views.merge(base, delta)
+
+
+@query("merge_overlay", f"WITH {_OVERLAY} SELECT k, seq, v FROM merged QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1")
+def merge_overlay(spark, d):
+    return views.latest(overlay_log(spark, d)).select("k", "seq", "v")
+
+
+# --- batches ------------------------------------------------------------------------------------------------------
+
+
+@query("batch_sequence_assignment", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) + 1000 AS seq FROM orders")
+def batch_sequences(spark, d):
+    return batch.assign_sequences(table(spark, d, "orders"), ["o_orderpriority", "o_orderkey"], 1000).select("o_orderkey", "seq")
+
+
+@query(
+    "batch_validate",
+    """WITH m AS (SELECT strlen(c_name) AS k, strlen(c_mktsegment) AS v, CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END AS t FROM customer)
+        SELECT count(*) AS n_entries, CAST(sum(2 + k + CASE WHEN t = 1 THEN 1 + v ELSE 0 END) AS BIGINT) AS entry_bytes, CAST(sum(k + CASE WHEN t = 1 THEN v ELSE 0 END) AS BIGINT) AS user_bytes,
+        max(k) AS longest_key, min(k) AS shortest_key, count(*) BETWEEN 1 AND 1048576 AS valid FROM m""",
+)
+def batch_validate(spark, d):
+    rows = table(spark, d, "customer").select("c_name", "c_mktsegment", F.when(F.col("c_acctbal") < 0, 0).otherwise(1).alias("t"))
+    return batch.batch_summary(rows, "c_name", "c_mktsegment")
+
+
+# --- runs, levels, compaction -------------------------------------------------------------------------------------
+
+
+@query("flush_runs", f"WITH {_EV}, {_RUNS} SELECT run, count(*) AS n_entries, count(*) FILTER (t = 0) AS n_deletes FROM runs GROUP BY run")
+def flush_runs(spark, d):
+    return compaction.runs(events_log(spark, d), 100).groupBy("run").agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("t") == 0).alias("n_deletes"))
+
+
+@query(
+    "file_metadata",
+    f"""WITH {_EV}, {_RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k, seq DESC, t DESC) AS a, row_number() OVER (PARTITION BY run ORDER BY k DESC, seq, t) AS z FROM runs)
+        SELECT run AS number, count(*) AS n_entries, count(*) * 100 AS file_size, max(seq) AS max_sequence, max(k) FILTER (a = 1) AS smallest_k, max(seq) FILTER (a = 1) AS smallest_seq, max(t) FILTER (a = 1) AS smallest_t,
+        max(k) FILTER (z = 1) AS largest_k, max(seq) FILTER (z = 1) AS largest_seq, max(t) FILTER (z = 1) AS largest_t FROM n GROUP BY run""",
+)
+def file_metadata(spark, d):
+    return compaction.file_metadata(compaction.runs(events_log(spark, d), 100))
+
+
+_CAP = "caps AS (SELECT CAST(l AS INTEGER) AS level, CAST(CASE WHEN l = 0 THEN 0 ELSE 4000 * 2 ** (l - 1) END AS BIGINT) AS capacity FROM range(7) r(l))"
+_SCORES = f"""{_CAP}, held AS (SELECT level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY level),
+        scores AS (SELECT c.level, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, CASE WHEN c.level = 0 THEN coalesce(files, 0) / 4.0::DOUBLE ELSE coalesce(bytes, 0) / capacity::DOUBLE END AS score FROM caps c LEFT JOIN held h ON c.level = h.level)"""
+
+
+@query("level_capacity", f"WITH {_CAP} SELECT level, capacity FROM caps")
+def level_capacity(spark, d):
+    return levels.capacities(spark, OPTIONS)
+
+
+@query("level_scores", f"WITH {_FILES}, {_SCORES} SELECT level, files, bytes, round(score, 9) AS score FROM scores")
+def level_scores(spark, d):
+    return levels.scores(part_files(spark, d), OPTIONS).withColumn("score", F.round("score", 9))
+
+
+@query("pick_level", f"WITH {_FILES}, {_SCORES} SELECT coalesce((SELECT level FROM scores WHERE score >= 1 AND level < 6 ORDER BY score DESC, level LIMIT 1), -1) AS level")
+def pick_level(spark, d):
+    return levels.pick_level(part_files(spark, d), OPTIONS)
+
+
+@query("pick_seed_round_robin", f"WITH {_FILES} SELECT number FROM files WHERE level = 1 ORDER BY lo, number LIMIT 1")
+def pick_seed_round_robin(spark, d):
+    return levels.pick_seed(part_files(spark, d), 1)
+
+
+_OVERLAP = "met AS (SELECT u.number, CAST(coalesce(sum(l.size), 0) AS BIGINT) AS overlap FROM (SELECT * FROM files WHERE level = 1) u LEFT JOIN (SELECT * FROM files WHERE level = 2) l ON u.lo <= l.hi AND l.lo <= u.hi GROUP BY u.number)"
+
+
+@query("overlap_bytes", f"WITH {_FILES}, {_OVERLAP} SELECT number, overlap FROM met")
+def overlap_bytes(spark, d):
+    files = part_files(spark, d)
+    return levels.overlaps(files.where("level = 1"), files.where("level = 2"))
+
+
+@query("pick_seed_min_overlap", f"WITH {_FILES}, {_OVERLAP} SELECT number FROM met ORDER BY overlap, number LIMIT 1")
+def pick_seed_min_overlap(spark, d):
+    return levels.pick_seed(part_files(spark, d), 1, "min_overlap")
+
+
+_CLOSURES = """reach AS (SELECT *, max(hi) OVER (PARTITION BY level ORDER BY lo, hi, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM files),
+        islands AS (SELECT *, CAST(sum(CASE WHEN r IS NULL OR lo > r THEN 1 ELSE 0 END) OVER (PARTITION BY level ORDER BY lo, hi, number ROWS UNBOUNDED PRECEDING) AS INTEGER) AS closure FROM reach)"""
+
+
+@query("l0_closure", f"WITH {_FILES}, {_CLOSURES} SELECT level, number, closure FROM islands WHERE level = 0")
+def l0_closure(spark, d):
+    return levels.closures(part_files(spark, d).where("level = 0")).select("level", "number", "closure")
+
+
+@query(
+    "lower_overlap",
+    f"""WITH {_FILES}, {_CLOSURES}, upper AS (SELECT * FROM islands WHERE level = 0 AND closure = (SELECT closure FROM islands WHERE level = 0 AND number = 0)),
+        span AS (SELECT min(lo) AS a, max(hi) AS b FROM upper)
+        SELECT level, number FROM upper UNION ALL SELECT f.level, f.number FROM files f, span WHERE f.level = 1 AND f.lo <= b AND a <= f.hi""",
+)
+def lower_overlap(spark, d):
+    return levels.inputs(part_files(spark, d), 0, 0).select("level", "number")
+
+
+_BASE = "base AS (SELECT ev.*, NOT EXISTS (SELECT 1 FROM files f WHERE f.level >= 2 AND ev.k * 37 BETWEEN f.lo AND f.hi) AS base FROM ev)"
+
+
+@query("base_level_flag", f"WITH {_EV}, {_FILES}, {_BASE} SELECT DISTINCT k, base FROM base")
+def base_level_flag(spark, d):
+    keys = events_log(spark, d).select("k").distinct().withColumn("at", F.col("k") * 37)
+    return levels.base_level(keys, "at", part_files(spark, d), 0).select("k", "base")
+
+
+def based(spark, d):
+    return levels.base_level(events_log(spark, d).withColumn("at", F.col("k") * 37), "at", part_files(spark, d), 0).drop("at")
+
+
+_DROP = f"judged AS (SELECT *, coalesce(lag(seq) OVER (PARTITION BY k ORDER BY seq DESC, t DESC) <= {SNAPSHOT}, FALSE) OR (t = 0 AND seq <= {SNAPSHOT} AND base) AS gone FROM base)"
+
+
+@query("compact_kept", f"WITH {_EV}, {_FILES}, {_BASE}, {_DROP} SELECT k, seq, t, v FROM judged WHERE NOT gone")
+def compact_kept(spark, d):
+    return compaction.compact(based(spark, d), SNAPSHOT).select("k", "seq", "t", "v")
+
+
+@query("compact_dropped_counts", f"WITH {_EV}, {_FILES}, {_BASE}, {_DROP} SELECT count(*) FILTER (gone AND t = 1) AS dropped_old, count(*) FILTER (gone AND t = 0) AS dropped_tombstones FROM judged")
+def compact_dropped(spark, d):
+    return compaction.dropped_counts(based(spark, d), SNAPSHOT)
+
+
+@query("compact_equivalence", "SELECT CAST(0 AS BIGINT) AS differences")
+def compact_equivalence(spark, d):
+    """Live rows at the snapshot and at the end that compaction changed: none."""
+    log = based(spark, d)
+    kept = compaction.compact(log, SNAPSHOT)
+    seen = [views.latest(x, s).select("k", "seq", "v", F.lit(s or 0).alias("at"), F.lit(side).alias("side")) for x, side in ((log, 1), (kept, -1)) for s in (SNAPSHOT, None)]
+    sides = union(seen).groupBy("at", "k", "seq", "v").agg(F.sum("side").alias("left_over"))
+    return sides.where("left_over <> 0").agg(F.count(F.lit(1)).alias("differences"))
+
+
+@query(
+    "layout_violations",
+    f"""WITH {_FILES}, m AS (SELECT *, max(hi) OVER (PARTITION BY level ORDER BY lo, hi, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM files)
+        SELECT level, number, 'overlap' AS rule FROM m WHERE level > 0 AND r >= lo UNION ALL SELECT level, number, 'size' FROM m WHERE size <= 0""",
+)
+def layout_violations(spark, d):
+    return levels.violations(part_files(spark, d))
+
+
+@query("apply_edit", f"WITH {_FILES} SELECT level, number, lo, hi, size FROM files WHERE NOT (level = 0 AND number % 3 = 0) UNION ALL SELECT 1, number, lo, hi, size FROM files WHERE level = 0 AND number % 3 = 0")
+def apply_edit(spark, d):
+    files = part_files(spark, d)
+    moved = files.where("level = 0 and number % 3 = 0")
+    return levels.apply_edit(files, moved, moved.withColumn("level", F.lit(1)))
+
+
+@query("vacuum_candidates", f"WITH {_FILES} SELECT number FROM files WHERE level = 0 AND number % 3 = 0")
+def vacuum_candidates(spark, d):
+    files = part_files(spark, d)
+    return levels.unreferenced(files.select("number"), files.where("not (level = 0 and number % 3 = 0)"))
+
+
+@query("orphans", f"WITH {_FILES} SELECT number FROM files WHERE number NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+def orphans(spark, d):
+    return levels.unreferenced(part_files(spark, d).select("number"), table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("number")))
+
+
+# --- pruning and statistics ---------------------------------------------------------------------------------------
+
+
+@query("key_range_pruning", f"WITH {_FILES} SELECT c_custkey * 61 AS k, count(number) AS files, count(*) FILTER (level = 0) AS level0_files FROM customer LEFT JOIN files ON c_custkey * 61 BETWEEN lo AND hi GROUP BY c_custkey")
+def key_range_pruning(spark, d):
+    return levels.covering(table(spark, d, "customer").select((F.col("c_custkey") * 61).alias("k")), "k", part_files(spark, d))
+
+
+@query("read_amp", f"WITH {_FILES} SELECT round(count(number) / (SELECT count(*) FROM customer)::DOUBLE, 6) AS read_amp FROM customer JOIN files ON c_custkey * 61 BETWEEN lo AND hi")
+def read_amp(spark, d):
+    probes = table(spark, d, "customer").select(Intervals.of(part_files(spark, d)).column(F.col("c_custkey") * 61).alias("n"))
+    return probes.agg(F.round(F.sum("n") / F.count(F.lit(1)).cast("double"), 6).alias("read_amp"))
+
+
+@query("write_amp", f"WITH {_EV}, {_FILES}, {_BASE}, {_DROP} SELECT round((count(*) * 100 + count(*) FILTER (NOT gone) * 100) / (count(*) * 16)::DOUBLE, 6) AS write_amp, round(count(*) * 100 / (count(*) * 16)::DOUBLE, 6) AS write_amp_flush FROM judged")
+def write_amp(spark, d):
+    judged = compaction.judged(based(spark, d), SNAPSHOT)
+    return stats.write_amplification(judged, F.lit(16), F.lit(100), F.when(F.col("drop"), 0).otherwise(100))
+
+
+@query("space_amp", f"WITH {_EV}, {_LIVE}, {_FILES} SELECT round((SELECT sum(size) FROM files) / (SELECT count(*) * 16 FROM live)::DOUBLE, 6) AS space_amp")
+def space_amp(spark, d):
+    user = views.latest(events_log(spark, d)).agg((F.count(F.lit(1)) * 16).alias("user"))
+    return stats.space_amplification(part_files(spark, d), user)
+
+
+@query("level_stat_lines", f"WITH {_FILES}, {_SCORES} SELECT 'LEVEL LEVEL=' || level || ' FILES=' || files || ' BYTES=' || bytes AS line FROM scores")
+def level_stat_lines(spark, d):
+    return stats.stat_lines(levels.scores(part_files(spark, d), OPTIONS).drop("score"), "LEVEL")
+
+
+@query(
+    "percentile_nearest_rank",
+    """WITH r AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM events)
+        SELECT CAST(p AS INTEGER) AS permille, value FROM r, (VALUES (500), (990), (999), (1000)) v(p) WHERE i = p * (n - 1) // 1000""",
+)
+def percentile_nearest_rank(spark, d):
+    return stats.nearest_rank(table(spark, d, "events").select("value", "event_id"), ["value", "event_id"], "value", [500, 990, 999, 1000])
+
+
+@query("wal_contiguity", f"WITH {_EV} SELECT min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, count(DISTINCT seq) AS n_distinct, min(seq) = 1 AND max(seq) = count(*) AND count(*) = count(DISTINCT seq) AS contiguous FROM ev")
+def wal_contiguity(spark, d):
+    return stats.contiguity(events_log(spark, d))
+
+
+@query("recovery_last_sequence", f"WITH {_EV} SELECT greatest((SELECT max(seq) FROM ev WHERE seq <= 900), (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')) AS last_sequence")
+def recovery_last_sequence(spark, d):
+    """The larger of what the log replays to and what the runs hold."""
+    log = events_log(spark, d).where("seq <= 900").agg(F.max("seq").alias("a"))
+    held = table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("b"))
+    return log.crossJoin(F.broadcast(held)).select(F.greatest("a", "b").alias("last_sequence"))  # one row each
+
+
+@query("replay_idempotent", f"WITH {_EV}, {_LIVE} SELECT k, seq, v FROM live")
+def replay_idempotent(spark, d):
+    log = events_log(spark, d)
+    return views.latest(views.merge(log, log.where(f"seq <= {SNAPSHOT}"))).select("k", "seq", "v")
+
+
+# --- formats ------------------------------------------------------------------------------------------------------
+
+
+@query("varint_lengths", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey * o_orderkey < 128 THEN 1 WHEN o_orderkey * o_orderkey < 16384 THEN 2 WHEN o_orderkey * o_orderkey < 2097152 THEN 3 WHEN o_orderkey * o_orderkey < 268435456 THEN 4 ELSE 5 END AS INTEGER) AS n FROM orders")
+def varint_lengths(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", codec.varint_length(F.col("o_orderkey") * F.col("o_orderkey")).alias("n"))
+
+
+@query("pack_trailers", f"WITH {_EV} SELECT k, seq, t, seq * 256 + t AS trailer FROM ev")
+def pack_trailers(spark, d):
+    packed = events_log(spark, d).select("k", codec.pack_trailer(F.col("seq"), F.col("t")).alias("trailer"))
+    return packed.select("k", codec.trailer_sequence(F.col("trailer")).alias("seq"), codec.trailer_kind(F.col("trailer")).alias("t"), "trailer")
+
+
+@query("bloom_no_false_negative", "SELECT count(DISTINCT c_name) AS held, CAST(0 AS BIGINT) AS missed FROM customer")
+def bloom_no_false_negative(spark, d):
+    """Keys of every bucket's filter that the filter denies: none."""
+    return _bloom(table(spark, d, "customer").select("c_name"), probe="").agg(F.sum("held").alias("held"), F.sum(F.col("probes") - F.col("hits")).alias("missed"))
+
+
+@query("bloom_false_positive_rate")
+def bloom_false_positive_rate(spark, d):
+    """The share of absent keys that the filters of all buckets let through, at ten bits a key."""
+    return _bloom(table(spark, d, "customer").select("c_name"), probe="z").agg((F.sum("hits") / F.sum("probes")).alias("rate"))
+
+
+def _bloom(keys: DataFrame, probe: str) -> DataFrame:
+    """(held, probes, hits) of a filter for each of 16 buckets of keys, asked for each of its own keys with ``probe`` after it."""
+    import pandas as pd
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        names = [k.encode() for k in own.iloc[:, 0]]
+        hits = codec.bloom_may_hold([k + probe.encode() for k in names], codec.bloom_build(names, 10))
+        return pd.DataFrame({"held": [len(names)], "probes": [len(names)], "hits": [int(hits.sum())]})
+
+    name = keys.columns[0]
+    bucketed = keys.distinct().withColumn("bucket", F.pmod(F.xxhash64(name), F.lit(16)))
+    return bucketed.groupBy("bucket").applyInPandas(lambda own: run(own[[name]]), "held long, probes long, hits long")
+
+
+@query("crc32c_of_names")
+def crc32c_of_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", codec.crc32c_column(F.col("c_name").cast("binary")).alias("crc32c"))
+
+
+# --- the store ----------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is not set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _event_schema(spark, d):
+    return events_log(spark, d).select("k", "v", "ts").schema
+
+
+@query("store_round_trip", f"WITH {_EV}, {_LIVE} SELECT k, v, ts FROM live")
+def store_round_trip(spark, d):
+    """Events written in three commits, compacted, and read back."""
+    from ..sources.store import Store
+
+    log = events_log(spark, d)
+    store = Store.open(spark, _folder(spark, "store"), _event_schema(spark, d), Options(level0_trigger=2))
+    n = log.agg(F.max("seq")).first()[0] or 0
+    for a in range(3):
+        store.write_frame(log.where((F.col("seq") > n * a // 3) & (F.col("seq") <= n * (a + 1) // 3)).withColumnRenamed("seq", "ord"), ["ord"])
+    store.compact_until_stable()
+    store.vacuum()
+    return store.scan()
+
+
+@query("store_snapshot", f"WITH {_EV} SELECT k, v, ts FROM ev WHERE seq <= (SELECT max(seq) // 3 FROM ev) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC, t DESC) = 1 AND t = 1")
+def store_snapshot(spark, d):
+    """A snapshot taken after the first of three commits, read after compaction."""
+    from ..sources.store import Store
+
+    log = events_log(spark, d)
+    store = Store.open(spark, _folder(spark, "store"), _event_schema(spark, d), Options(level0_trigger=2))
+    n = log.agg(F.max("seq")).first()[0] or 0
+    snapshot = None
+    for a in range(3):
+        store.write_frame(log.where((F.col("seq") > n * a // 3) & (F.col("seq") <= n * (a + 1) // 3)).withColumnRenamed("seq", "ord"), ["ord"])
+        snapshot = snapshot or store.snapshot()
+    store.compact_until_stable()
+    return store.scan(snapshot=snapshot)
+
+
+@query("stream_ingest", f"WITH {_EV}, {_LIVE} SELECT k, v, ts FROM live")
+def stream_ingest(spark, d):
+    """Events read as a stream, committed by micro-batch, and read back."""
+    from ..sources.store import Store
+    from ..streaming.ingest import ingest
+
+    folder = _folder(spark, "stream")
+    store = Store.open(spark, f"{folder}/store", _event_schema(spark, d))
+    events = table(spark, d, "events")
+    stream = _stream(spark, d, events)
+    ingest(stream, store, "events", ["ord"], f"{folder}/checkpoint").awaitTermination()
+    return store.scan()
+
+
+def _stream(spark, d, events):
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    return source.select(F.col("event_id").alias("ord"), kind.alias("t"), F.col("user_id").alias("k"), F.col("value").alias("v"), "ts")
+
+
+@query("global_row_number", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_tax, l_discount, l_quantity) AS n FROM lineitem")
+def global_rows(spark, d):
+    order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_discount", "l_quantity"]
+    return global_row_number(table(spark, d, "lineitem"), order, "n").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "n")
