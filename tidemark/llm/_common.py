@@ -231,7 +231,8 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
 
     links: two long columns. Each partition first contracts its own links to a forest, then large-star and
     small-star steps alternate until every node hangs from its component's smallest one. Each step is a grouped
-    minimum (combined before the shuffle) and an equality join whose hot keys Spark can split; links, nodes and
+    minimum (combined before the shuffle), written so that the equality join with it has two shuffles of its own and
+    Spark can split hot keys; links, nodes and
     labels stay distributed, and each round is a written table. Nulls and self-links are left out.
     """
     a, b = links.columns[:2]
@@ -239,13 +240,14 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
     edges = save(edges.mapInArrow(_contract, "a long, b long").distinct(), f"{name}-forest")
     for _ in range(most_rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"{name}-least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = save(large.where("a <> b").distinct(), f"{name}-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        drop(edges, least)
+        least = save(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), f"{name}-least")
         small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = save(small.where("a <> b").distinct(), f"{name}-small")
-        drop(edges, large)
+        drop(large, least)
         edges = small
         if edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("n")).where("m <> n").isEmpty():
             parents = edges.select(F.col("b").alias("p")).distinct()
@@ -267,8 +269,7 @@ def cells(rows: DataFrame, key: list[str], salt: str, size: int, few_keys: bool
     """
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.ceil(F.col("n") / size).cast("int").alias("chunks"))
-    if few_keys:
-        counts = F.broadcast(counts)
+    counts = F.broadcast(counts) if few_keys else save(counts, "cells")  # written, so that Spark can split hot keys of the join
     on = [F.col(k) == F.col(f"k{i}") for i, k in enumerate(key)]
     met = rows.join(counts, on).withColumn("c", F.pmod(F.xxhash64(salt), F.col("chunks")).cast("int"))
     met = met.withColumn("x", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))))

@@ -146,7 +146,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     parts = components(found.where("b is not null").select("a", "b"), "vectors")
     known = nodes.join(counts, F.col("cid") == F.col("i"), "left").join(parts, F.col("cid") == F.col("node"), "left")
     known = save(known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component"), "first_id"), "vector-classes", spark)
-    least = known.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    least = save(known.groupBy("component").agg(F.min("first_id").alias("least_id")), "vector-least", spark)
     known = known.join(least, "component").select("l", "e", "links", "least_id")
     out = rows.join(known, F.col("sound") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.when(F.col("sound"), F.col("least_id")).otherwise(F.col("vec_id"))

@@ -100,7 +100,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     parts = components(links, "simhash")
     known = distinct.join(parts, F.col("f") == F.col("node"), "left").select("f", "first_id", F.coalesce("component", "f").alias("component"))
     known = save(known, "simhash-parts", prints.sparkSession)
-    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = save(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least", prints.sparkSession)
     return known.select("f", "component").join(least, "component").select("f", "component", "component_id")
 
 

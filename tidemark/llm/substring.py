@@ -109,20 +109,22 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     # Runs that stand in two texts or more, and for each text the ones it has.
     anchors = save(known.mapInArrow(_first_pass(width, anchor), "h long, digest long"), "anchors", spark)
     shared = anchors.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select(F.col("h").alias("k"))
+    shared = save(shared, "anchors-shared", spark)  # written, so that Spark can split hot keys of the join
     flags = anchors.join(shared, F.col("h") == F.col("k")).groupBy("digest").agg(F.collect_set("h").alias("flags"))
     flags = save(flags.join(firsts, "digest").select(F.col("first_id").alias("d"), F.col("digest").alias("g"), "flags"), "flags", spark)
-    drop(anchors)
+    drop(anchors, shared)
 
     # The windows that may be repeats, whole.
     marked = known.join(flags.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g"))).select("doc_id", "text", "digest", "flags")
     windows = save(marked.mapInArrow(_second_pass(width, anchor), "h long, doc_id long, digest long, position int"), "windows", spark)
     drop(flags)
     earliest = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(F.col("h").alias("k"), "a")
+    earliest = save(earliest, "windows-earliest", spark)
     found = windows.join(earliest, F.col("h") == F.col("k")).where("doc_id > a")
     starts = found.groupBy("doc_id", "digest").agg(F.collect_set("position").alias("starts"))
     copies = ids.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("starts"))
     out = save(starts.union(copies).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("starts").isNull().alias("copy"), "starts"), "repeats", spark)
-    drop(windows, ids, firsts)
+    drop(windows, earliest, ids, firsts)
     return out
 
 
