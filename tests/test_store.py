@@ -198,3 +198,14 @@ def test_batches(spark):
     assert b.validate()[0] == 4 and b.byte_size() == 12 + b.validate()[1]
     b.clear()
     assert len(b) == 0 and b.byte_size() == 12
+
+
+def test_flush_keeps_every_version(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "db"), SCHEMA)
+    store.put("a", "1")
+    held = store.snapshot()
+    store.delete("a")
+    store.put("b", "2")
+    assert store.flush() and not store.flush()
+    assert len(store.manifest.runs) == 1 and store.log().count() == 3
+    assert live(store) == {"b": "2"} and live(store, held) == {"a": "1"}

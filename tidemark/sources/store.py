@@ -257,6 +257,17 @@ class Store:
         schema = StructType([StructField("level", IntegerType()), StructField("number", LongType()), StructField("lo", kind), StructField("hi", kind), StructField("size", LongType())])
         return self.spark.createDataFrame([(r.level, r.number, r.smallest[0], r.largest[0], r.file_size) for r in self._manifest.runs], schema)
 
+    def flush(self) -> bool:
+        """Rewrite the level-0 runs that are smaller than the write buffer as one, with all versions and deletes. False if there are not two."""
+        self._open()
+        small = [r for r in self._manifest.runs if r.level == 0 and r.file_size < self.options.write_buffer_size]
+        if len(small) < 2:
+            return False
+        m = self._manifest
+        run, _ = self._write_run(self._read(small).dropDuplicates([self.key, "seq", "t"]), 0, m.next_number)
+        self._publish(m.edit({r.number for r in small}, [run], next_number=m.next_number + 1, flushed_bytes=m.flushed_bytes + run.file_size))
+        return True
+
     def compact(self, level: int | None = None) -> bool:
         """One round: pick a level that is due (or take ``level``), merge its inputs, drop what no snapshot sees. False if nothing is due."""
         self._open()
