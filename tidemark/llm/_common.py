@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,6 +28,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidemark/{sc.applicationId}"
 
 
+_FOLDERS: set[str] = set()
+
+
+def _clean(jvm, configuration, folder: str) -> None:
+    """Remove this application's scratch tables when Python ends; a folder that can't be reached then stays."""
+    with contextlib.suppress(Exception):
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(configuration).delete(where, True)
+
+
 def save(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -33,7 +45,11 @@ def save(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFra
     table stay what they were. Call :func:`drop` once nothing reads the table any more.
     """
     spark = spark or df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = scratch_dir(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_clean, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
@@ -195,6 +211,14 @@ class Forest:
             self.up[a] = b
 
 
+LINKS = "a long, b long"
+
+
+def contracted(links):
+    """A function of batches that gives the links of ``links`` (also one) as a spanning forest of each partition: one Python worker runs both."""
+    return lambda batches: _contract(links(batches))
+
+
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each partition's links as a spanning forest: (node, smallest node of its part)."""
     nodes: dict[int, int] = {}
@@ -226,10 +250,10 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], ["a", "b"])
 
 
-def components(links: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "links", forests: bool = False, most_rounds: int = 60) -> DataFrame:
     """(node long, component long): the smallest node reachable, for every node that has a link.
 
-    links: two long columns. Each partition first contracts its own links to a forest, then large-star and
+    links: two long columns. Each partition first contracts its own links to a forest (forests: it has done so), then large-star and
     small-star steps alternate until every node hangs from its component's smallest one. Each step is a grouped
     minimum (combined before the shuffle), written so that the equality join with it has two shuffles of its own and
     Spark can split hot keys; links, nodes and
@@ -237,7 +261,7 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    edges = save(edges.mapInArrow(_contract, "a long, b long").distinct(), f"{name}-forest")
+    edges = save((edges if forests else edges.mapInArrow(_contract, LINKS)).distinct(), f"{name}-forest")
     for _ in range(most_rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"{name}-least")
@@ -258,23 +282,35 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 
-def cells(rows: DataFrame, key: list[str], salt: str, size: int, few_keys: bool = False) -> DataFrame:
-    """Deal rows out so that all rows of a key that has two or more meet pairwise, in groups of bounded size.
+#: So many hot keys are broadcast (the table is counted first); more are joined by shuffle.
+FEW_HOT = 4096
+
+
+def cells(rows: DataFrame, key: str, salt: str, size: int, then: str | None = None) -> DataFrame:
+    """Deal rows out so that all rows of a key meet pairwise, in groups of bounded size.
 
-    Adds lo and hi. A key of at most ``size`` rows is one cell (0, 0). A hotter key is cut by the hash of ``salt`` into
+    Adds c, lo and hi. A key of at most ``size`` rows is one cell (0, 0). A hotter key is cut by the hash of ``salt`` into
     chunks of about ``size``, and there is a cell for each pair of chunks: a row of chunk c goes to the cells of c and every
     other chunk, so each pair of rows meets in the cell of its two chunks and no cell holds more than two chunks.
-    Sorted by key and cell within partitions; rows with a key of their own are left out. few_keys: the number of keys is
-    bounded, so that their counts may be broadcast.
+    Sorted by key and cell (and ``then``) within partitions. Keys are counted with a combine before the shuffle; only hot ones are
+    written and looked up, so rows move once.
     """
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = counts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.ceil(F.col("n") / size).cast("int").alias("chunks"))
-    counts = F.broadcast(counts) if few_keys else save(counts, "cells")  # written, so that Spark can split hot keys of the join
-    on = [F.col(k) == F.col(f"k{i}") for i, k in enumerate(key)]
-    met = rows.join(counts, on).withColumn("c", F.pmod(F.xxhash64(salt), F.col("chunks")).cast("int"))
+    hot = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    hot = save(hot.select("hot", F.ceil(F.col("n") / size).cast("int").alias("chunks")), "hot-keys", rows.sparkSession)
+    n = hot.count()
+    if not n:
+        zero = [F.lit(0).alias(x) for x in ("c", "lo", "hi")]
+        if not then:
+            return rows.repartition(key).sortWithinPartitions(key).select("*", *zero)
+        # key and ``then`` (both non-negative ints) as one long: less to move, and sorted by radix
+        both = F.shiftleft(F.col(key).cast("long"), 32).bitwiseOR(F.col(then).cast("long"))
+        dealt = rows.withColumn("both", both).drop(key, then).repartition(F.shiftright("both", 32)).sortWithinPartitions("both")
+        return dealt.select(F.shiftright("both", 32).cast("int").alias(key), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(then), *[c for c in rows.columns if c not in (key, then)], *zero)
+    met = rows.join(F.broadcast(hot) if n <= FEW_HOT else hot, F.col(key) == F.col("hot"), "left")
+    met = met.withColumn("c", F.coalesce(F.pmod(F.xxhash64(salt), F.col("chunks")).cast("int"), F.lit(0)))
     met = met.withColumn("x", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))))
-    met = met.withColumn("lo", F.least("c", "x")).withColumn("hi", F.greatest("c", "x")).drop("x", "chunks", *[f"k{i}" for i in range(len(key))])
-    return met.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
+    met = met.withColumn("lo", F.least("c", "x")).withColumn("hi", F.greatest("c", "x")).drop("x", "hot", "chunks")
+    return met.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", *([then] if then else []))
 
 
 def groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

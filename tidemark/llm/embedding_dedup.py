@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cells, components, drop, forest, groups, large, mix, neighbours, save
+from ._common import cells, components, forest, groups, large, mix, neighbours, save
 
 TABLES, FUNCTIONS, WIDTH, COSINE, SEED = 24, 12, 2.0, 0.93, 7
 #: A bucket of more vectors than this is dealt out as pairs of chunks.
@@ -140,7 +140,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     distinct = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
     nodes = save(distinct.withColumn("cid", F.monotonically_increasing_id()), "vectors", spark)
     hashed = nodes.select("cid", "size", "label", "embedding").mapInArrow(_hash(tables, functions, width, seed), "bucket long, table int, cid long, size long, label long, unit binary, keys binary")
-    met = cells(hashed, ["bucket"], "cid", CHUNK).select("bucket", "lo", "hi", "c", "table", "cid", "size", "label", "unit", "keys")
+    met = cells(hashed, "bucket", "cid", CHUNK).select("bucket", "lo", "hi", "c", "table", "cid", "size", "label", "unit", "keys")
     found = save(met.mapInArrow(_verify(cosine), "a long, b long, n long"), "vector-links", spark)
     counts = found.where("b is null").groupBy(F.col("a").alias("i")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b is not null").select("a", "b"), "vectors")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from ._common import cells, components, drop, forest, groups, large, neighbours, save
+from ._common import LINKS, cells, components, contracted, forest, groups, large, neighbours, save
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: A variant that more fingerprints share than this is dealt out as pairs of chunks.
@@ -96,8 +96,8 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     segments = distance // 2 + 1  # the fewest of which one differs by at most one bit
     distinct = save(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first_id")), "prints", prints.sparkSession)
     indexed = distinct.select("f", F.explode(_variants("f", segments)).alias("variant"))
-    links = cells(indexed, ["variant"], "f", CHUNK).select("variant", "lo", "hi", "f").mapInArrow(_verify(distance), "a long, b long")
-    parts = components(links, "simhash")
+    links = cells(indexed, "variant", "f", CHUNK).select("variant", "lo", "hi", "f").mapInArrow(contracted(_verify(distance)), LINKS)
+    parts = components(links, "simhash", forests=True)
     known = distinct.join(parts, F.col("f") == F.col("node"), "left").select("f", "first_id", F.coalesce("component", "f").alias("component"))
     known = save(known, "simhash-parts", prints.sparkSession)
     least = save(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least", prints.sparkSession)
