@@ -1,10 +1,10 @@
 """Exact top-k search by an impact-ordered, score-at-a-time index.
 
-Components are quantised to integers. In a block of vectors, a posting segment of the index is the list of vectors that
-have one value in one dimension. For a query, a segment's impact is what it adds to a score above the least that its
-dimension can add; segments are worked from high impact to low, over all dimensions. At any point a vector's score lies
-between what it has and that plus the next impact for each dimension not yet seen. Work stops once that proves all but a few vectors
-out of the k best, and those few are scored exactly.
+Components are quantised to integers; a component's size is its impact. In a block of vectors the postings (vector,
+dimension, value) are kept in segments by quantised impact, and segments are worked from high impact to low, each for
+a whole part of the queries at once. When all impacts above a level are done, a score lies within level * sum(|q|), over the
+dimensions in which the vector has not been seen yet, of what it has. Work stops once that proves all but a few vectors out of
+the k best, and those few are scored exactly; without proof it goes on to the last segment.
 """
 
 from __future__ import annotations
@@ -19,59 +19,81 @@ from ._common import groups
 
 SCALE, TOP = 64.0, 20
 #: Vectors of one block, and queries that are worked with it in one task.
-BLOCK, QUERIES = 4096, 512
-#: Members may be this many times k when work stops; only speed depends on it.
+BLOCK, QUERIES = 4096, 256
+#: Possible members may be this many times k when work stops; only speed depends on it.
 FEW = 8
 #: Quantised components are kept within these bounds, so that scores of up to 2 ** 10 dimensions are exact.
 LARGEST = 1 << 26
 
 
+#: Lower bounds of the quantised impacts, from high to low, as shares of the block's largest component.
+LEVELS = (1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 8, 1 / 12, 1 / 24, 0)
+#: A proof is tried from this share of the largest impact down.
+PROOF = 8
+#: Sums up to this are exact as doubles.
+EXACT = float(1 << 53)
+
+
 class ImpactIndex:
-    """Posting segments of a block of integer vectors, by dimension and value."""
+    """The postings of a block of integer vectors in segments by quantised impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids, vectors
+        size = np.abs(vectors)
+        self.largest = int(size.max(initial=0))
+        self.bounds = sorted({int(self.largest * share) for share in LEVELS}, reverse=True)
+        self.segments, above = [], self.largest + 1
+        for bound in self.bounds:
+            least = bound if bound else 1  # a component of 0 adds nothing
+            row, dimension = np.nonzero((size >= least) & (size < above))
+            self.segments.append((row, dimension, vectors[row, dimension].astype(np.float64)))
+            above = least
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, ids, scores) of the k best vectors for each row of ``queries``, none of which has the id in ``own``; ties go to smaller ids."""
         n, d = self.vectors.shape
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # by dimension, from small to large values
-        ordered = np.take_along_axis(self.vectors.T, self.rows, axis=1)
-        new = np.ones((d, n), bool)
-        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        self.dimension, self.start = np.nonzero(new)
-        last = np.r_[self.dimension[1:] != self.dimension[:-1], True] if len(self.dimension) else np.zeros(0, bool)
-        self.end = np.where(last, n, np.r_[self.start[1:], n]) if len(self.start) else self.start
-        self.value = ordered[self.dimension, self.start]
-        self.low, self.high = (self.vectors.min(axis=0), self.vectors.max(axis=0)) if n else (np.zeros(d, np.int64),) * 2
-
-    def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best vectors other than ``own``; ties go to smaller ids."""
-        n = len(self.ids)
-        member = np.ones(n, bool) if own is None else self.ids != own
-        count = int(member.sum())
-        if count > k * FEW:
-            least = np.minimum(query * self.low, query * self.high)  # the least that each dimension can add
-            impact = query[self.dimension] * self.value - least[self.dimension]
-            order = np.argsort(-impact, kind="stable")
-            have, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            total, reached, due = impact.sum(), 0, len(order) // 4
-            for at, s in enumerate(order.tolist()):
-                if at == due:  # try for a proof now and then
-                    due += max(1, len(order) // 12)
-                    unseen = (len(query) - seen) * impact[s]
-                    floor = np.partition(have[member], count - k)[count - k]
-                    member_now = member & (have + unseen >= floor)
-                    if int(member_now.sum()) <= k * FEW:
-                        member = member_now
-                        break
-                if impact[s] == 0:  # nothing is left to add: the scores are whole
+        same = np.flatnonzero(np.isin(self.ids, own))
+        left_out = [(i, np.flatnonzero(own == self.ids[i])) for i in same.tolist()]
+        member = np.ones((len(queries), n), bool)
+        for i, q in left_out:
+            member[q, i] = False
+        if n > k * FEW and float(self.largest) * float(np.abs(queries).max(initial=0)) * max(d, 1) < EXACT:
+            weights = queries.astype(np.float64)
+            have, unseen = np.zeros((len(queries), n)), np.ones((n, d))
+            for (row, dimension, value), bound in zip(self.segments, self.bounds, strict=True):
+                if len(row):
+                    postings = np.zeros((n, d))
+                    postings[row, dimension] = value
+                    have += weights @ postings.T
+                    unseen[row, dimension] = 0
+                if bound * PROOF > self.largest:
+                    continue
+                slack = (np.abs(weights) * max(bound - 1, 0)) @ unseen.T  # what is not seen is smaller than the bound
+                low = have - slack
+                for i, q in left_out:
+                    low[q, i] = -np.inf
+                worst = np.partition(low, n - k, axis=1)[:, n - k]
+                possible = have + slack >= worst[:, None]
+                if not bound or np.count_nonzero(possible) <= k * FEW * len(queries):
+                    member &= possible
                     break
-                rows = self.rows[self.dimension[s], self.start[s] : self.end[s]]
-                have[rows] += impact[s]
-                seen[rows] += 1
-        rows = np.flatnonzero(member)
-        scores = self.vectors[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q in range(len(queries)):
+            rows = np.flatnonzero(member[q])
+            scores = self.vectors[rows] @ queries[q]
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            out.append((np.full(len(best), q), self.ids[rows[best]], scores[best]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of integers as rows; shorter ones are padded with zeros."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.diff(ends)
+    out = np.zeros((len(column), int(lengths.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = values
+    return out
 
 
 def _search(k: int):
@@ -79,21 +101,9 @@ def _search(k: int):
         for batch, starts in groups(batches, ["block", "part"]):
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 cell = batch.slice(start, end - start)
-                ids, asks = cell.column("vec_id").to_numpy(), cell.column("asks").to_numpy(zero_copy_only=False)
-                raw = [np.array(v, np.int64) for v in cell.column("q").to_pylist()]
-                wide = max(map(len, raw), default=0)
-                vectors = np.zeros((len(raw), wide), np.int64)
-                for i, v in enumerate(raw):
-                    vectors[i, : len(v)] = v
-                index = ImpactIndex(ids[~asks], vectors[~asks])
-                query, best, score = [], [], []
-                for i in np.flatnonzero(asks).tolist():
-                    found, scores = index.search(vectors[i], k, ids[i])
-                    query.append(np.full(len(found), ids[i]))
-                    best.append(found)
-                    score.append(scores)
-                empty = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, empty]).astype(np.int64)) for x in (query, best, score)], ["query_id", "vec_id", "score"])
+                ids, asks, vectors = cell.column("vec_id").to_numpy(), cell.column("asks").to_numpy(zero_copy_only=False), _matrix(cell.column("q"))
+                query, best, score = ImpactIndex(ids[~asks], vectors[~asks]).search(vectors[asks], k, ids[asks])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids[asks][query], best, score)], ["query_id", "vec_id", "score"])
 
     return run
 
