@@ -59,18 +59,22 @@ _SPAN = "array<struct<s:int,k:int,e:int,m:string,l:string,r:string>>"
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost non-overlapping matches with code points of start and end, and the text just before and after each."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    none = F.array().cast(_SPAN)
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def add(acc: Column, i: Column) -> Column:
-        m, before, after = F.get(found, i), F.get(between, i), F.get(between, i + 1)
-        s = acc["at"] + F.length(before)
-        e = s + F.length(m)
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), m.alias("m"), F.right(before, F.lit(SIDE)).alias("l"), F.left(after, F.lit(SIDE)).alias("r"))
-        return F.struct(e.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def placed(x: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            m, before, after = F.get(x["found"], i), F.get(x["between"], i), F.get(x["between"], i + 1)
+            s = acc["at"] + F.length(before)
+            e = s + F.length(m)
+            span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), m.alias("m"), F.right(before, F.lit(SIDE)).alias("l"), F.left(after, F.lit(SIDE)).alias("r"))
+            return F.struct(e.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    n = F.size(found)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+        n = F.size(x["found"])
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, add, lambda acc: acc["out"])).otherwise(none)
+
+    return F.get(F.transform(F.array(both), placed), F.lit(0))  # the lambda's argument is computed once, not for each match
 
 
 def _checks(kind: str):
@@ -102,16 +106,6 @@ def _word_after(side: Column) -> Column:
     return F.when((w != "") & (F.length(w) < SIDE - 1), F.lower(w))
 
 
-def _key(side: Column | str, word: Column) -> Column:
-    return F.xxhash64(F.lit(side), word)
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(rid, s, e, k, x, p): each entity x under the patterns around it; l and r are the texts beside it."""
-    words = F.array(F.when(_word_before(F.col("l")).isNotNull(), _key("L", _word_before(F.col("l")))), F.when(_word_after(F.col("r")).isNotNull(), _key("R", _word_after(F.col("r")))))
-    return rows.withColumn("p", F.explode(F.filter(words, lambda p: p.isNotNull()))).drop("l", "r")
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, g, base, other): a hash of the text, and every row's base spans and its other identifier-like words. Narrow."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -126,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(p, total): how often each word of the whole corpus stands beside another, as a pattern's key for either side."""
+    """(h, total): how often each word (by its hash) stands anywhere in the corpus; counted in each partition before the shuffle."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count(F.lit(1)).alias("total"))
     return counts
@@ -147,7 +141,8 @@ def discover(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS, support: i
     # only patterns that seeds induce are kept, and only they are counted over the corpus
     induced = seeds.select("side", "h").distinct()
     sites = save(wanted.join(induced, ["side", "h"], "left_semi"), "pii-sites", spark)
-    totals = word_counts(docs).join(induced.select("h").distinct(), "h", "left_semi")
+    # an inner join: a semi-join would be pushed below the count, and every word of the corpus would be shuffled
+    totals = word_counts(docs).join(induced.select("h").distinct(), "h")
     totals = save(totals, "pii-totals", spark)
     unseen = sites.groupBy("side", "h", "x").agg(F.count(F.lit(1)).alias("n"))
     confidence = None
