@@ -151,7 +151,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTES = Rolling(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes from each ``start`` to each ``end``: eight bytes after eight are mixed into the hash so far, which starts from the
+    length and ``key``. Where equality hangs on it, use two hashes with random keys."""
+    size = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))  # every byte with the seven after it
+    out = mix(size.astype(np.uint64) ^ np.uint64(key))
+    rows, at = None, 0  # all, then those that are longer
+    while rows is None or len(rows):
+        if rows is None:
+            out = mix(out ^ (eight[start] & _MASKS[np.minimum(size, 8)]))
+        else:
+            out[rows] = mix(out[rows] ^ (eight[start[rows] + at] & _MASKS[np.minimum(size[rows] - at, 8)]))
+        at += 8
+        rows = np.flatnonzero(size > at) if rows is None else rows[size[rows] > at]
+    return out
 
 
 class Words:
@@ -177,12 +194,9 @@ class Words:
         self.first = np.searchsorted(start, self.offsets, side="left")
         self.row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, data: np.ndarray | None = None, key: int = 0) -> np.ndarray:
         """A 64-bit hash of every word's bytes."""
-        data = self.data if data is None else data
-        with np.errstate(over="ignore"):
-            sums = _BYTES.prefix(data.astype(np.uint64) + np.uint64(1))
-            return mix(_BYTES.runs(sums, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data if data is None else data, self.start, self.end, key)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -286,31 +300,27 @@ def components(links: DataFrame, name: str = "links", forests: bool = False, mos
 FEW_HOT = 4096
 
 
-def cells(rows: DataFrame, key: str, salt: str, size: int, then: str | None = None) -> DataFrame:
+def cells(rows: DataFrame, key: str, salt: str, size: int, counted: DataFrame | None = None) -> DataFrame:
     """Deal rows out so that all rows of a key meet pairwise, in groups of bounded size.
 
     Adds c, lo and hi. A key of at most ``size`` rows is one cell (0, 0). A hotter key is cut by the hash of ``salt`` into
     chunks of about ``size``, and there is a cell for each pair of chunks: a row of chunk c goes to the cells of c and every
     other chunk, so each pair of rows meets in the cell of its two chunks and no cell holds more than two chunks.
-    Sorted by key and cell (and ``then``) within partitions. Keys are counted with a combine before the shuffle; only hot ones are
-    written and looked up, so rows move once.
+    Sorted by key and cell within partitions. Keys are counted with a combine before the shuffle (in ``counted``, a table with the same
+    keys, if that is cheaper to read); only hot ones are written and looked up, so rows move once.
     """
-    hot = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    counted = rows if counted is None else counted
+    hot = counted.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
     hot = save(hot.select("hot", F.ceil(F.col("n") / size).cast("int").alias("chunks")), "hot-keys", rows.sparkSession)
     n = hot.count()
     if not n:
         zero = [F.lit(0).alias(x) for x in ("c", "lo", "hi")]
-        if not then:
-            return rows.repartition(key).sortWithinPartitions(key).select("*", *zero)
-        # key and ``then`` (both non-negative ints) as one long: less to move, and sorted by radix
-        both = F.shiftleft(F.col(key).cast("long"), 32).bitwiseOR(F.col(then).cast("long"))
-        dealt = rows.withColumn("both", both).drop(key, then).repartition(F.shiftright("both", 32)).sortWithinPartitions("both")
-        return dealt.select(F.shiftright("both", 32).cast("int").alias(key), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(then), *[c for c in rows.columns if c not in (key, then)], *zero)
+        return rows.repartition(key).sortWithinPartitions(key).select("*", *zero)
     met = rows.join(F.broadcast(hot) if n <= FEW_HOT else hot, F.col(key) == F.col("hot"), "left")
     met = met.withColumn("c", F.coalesce(F.pmod(F.xxhash64(salt), F.col("chunks")).cast("int"), F.lit(0)))
     met = met.withColumn("x", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))))
     met = met.withColumn("lo", F.least("c", "x")).withColumn("hi", F.greatest("c", "x")).drop("x", "hot", "chunks")
-    return met.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", *([then] if then else []))
+    return met.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
 def groups(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
