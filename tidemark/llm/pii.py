@@ -57,6 +57,15 @@ def _valid(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<s:int,k:int,e:int,m:string,l:string,r:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is named: as a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Matches that are placed by one fold; a fold copies what it has for each match, so long lists are cut into parts of this size.
+_PART = 128
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost non-overlapping matches with code points of start and end, and the text just before and after each."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
@@ -72,9 +81,21 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
             return F.struct(e.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
         n = F.size(x["found"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, add, lambda acc: acc["out"])).otherwise(none)
+        firsts = F.sequence(F.lit(0), F.floor((n - 1) / _PART).cast("int"))
+        # every part from 0, then moved to where the parts before it end
+        parts = F.transform(firsts, lambda p: F.aggregate(F.sequence(p * _PART, F.least(n, (p + 1) * _PART) - 1), start, add))
+
+        def moved(parts: Column) -> Column:
+            begins = F.aggregate(parts, F.array(F.lit(0)), lambda at, p: F.array_append(at, F.element_at(at, -1) + p["at"]))
+
+            def shifted(p: Column, base: Column) -> Column:
+                return F.transform(p["out"], lambda b: F.struct((b["s"] + base).alias("s"), b["k"].alias("k"), (b["e"] + base).alias("e"), b["m"].alias("m"), b["l"].alias("l"), b["r"].alias("r")))
+
+            return F.flatten(F.zip_with(parts, F.slice(begins, 1, F.size(parts)), shifted))
 
-    return F.get(F.transform(F.array(both), placed), F.lit(0))  # the lambda's argument is computed once, not for each match
+        return F.when(n > 0, _bound(parts, moved)).otherwise(none)
+
+    return _bound(both, placed)
 
 
 def _checks(kind: str):
@@ -110,13 +131,21 @@ def scan(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, g, base, other): a hash of the text, and every row's base spans and its other identifier-like words. Narrow."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("rid", "doc_id", F.xxhash64("text").alias("g"), _base(F.col("text")).alias("base"), F.when(F.col("text").rlike("[0-9@]"), _matches(F.col("text"), _CANDIDATE, -1)).otherwise(F.array().cast(_SPAN)).alias("words"))
-    # the identifier in a word: without the marks around it
-    lead = lambda c: F.length(F.regexp_extract(c["m"], r"\A[^A-Za-z0-9+@]*+", 0))
-    core = lambda c: F.regexp_replace(F.regexp_replace(c["m"], r"\A[^A-Za-z0-9+@]++", ""), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++\z", "")
-    other = F.transform("words", lambda c: F.struct((c["s"] + lead(c)).alias("s"), c["k"].alias("k"), (c["s"] + lead(c) + F.length(core(c))).alias("e"), F.lower(core(c)).alias("m"), c["l"].alias("l"), c["r"].alias("r")))
-    free = F.filter(other, lambda c: (c["e"] > c["s"]) & ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return rows.select("rid", "doc_id", "g", "base", free.alias("other"))
+    words = F.when(F.col("text").rlike("[0-9@]"), _matches(F.col("text"), _CANDIDATE, -1)).otherwise(F.array().cast(_SPAN))
+
+    def core(c: Column) -> Column:
+        """The identifier in a word: without the marks around it."""
+        lead = F.length(F.regexp_extract(c["m"], r"\A[^A-Za-z0-9+@]*+", 0))
+        inner = F.regexp_replace(F.regexp_replace(c["m"], r"\A[^A-Za-z0-9+@]++", ""), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++\z", "")
+        return _bound(F.struct(lead.alias("lead"), inner.alias("inner")), lambda x: F.struct((c["s"] + x["lead"]).alias("s"), c["k"].alias("k"), (c["s"] + x["lead"] + F.length(x["inner"])).alias("e"), F.lower(x["inner"]).alias("m"), c["l"].alias("l"), c["r"].alias("r")))
+
+    def free(x: Column) -> Column:
+        apart = F.filter(F.transform(x["words"], core), lambda c: (c["e"] > c["s"]) & ~F.exists(x["base"], lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+        return F.struct(x["base"].alias("base"), apart.alias("other"))
+
+    # base and words are computed once for each text, not for each word
+    found = _bound(F.struct(_base(F.col("text")).alias("base"), words.alias("words")), free)
+    return rows.select("rid", "doc_id", F.xxhash64("text").alias("g"), found.alias("found")).select("rid", "doc_id", "g", "found.base", "found.other")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -193,10 +222,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = save(scan(docs), "pii-scan", docs.sparkSession)
     added = discover(found, docs).join(found.select(F.col("rid"), F.col("doc_id"), F.col("g")), "rid")
-    added = added.groupBy(F.col("doc_id").alias("__d"), F.col("g").alias("__g")).agg(F.collect_set(F.struct("s", "k", "e")).alias("__added"))
-    both = docs.join(added, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__g")), "left")
-    text = docs["text"]
-    spans = F.array_sort(F.concat(F.transform(_base(text), _slim), F.coalesce("__added", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
+    added = added.groupBy(F.col("doc_id").alias("d"), F.col("g")).agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"))
+    both = whole.join(added, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    text = F.col("t")
+    spans = F.array_sort(F.concat(F.transform(_base(text), _slim), F.coalesce("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def cut(acc: Column, b: Column) -> Column:
@@ -205,9 +235,13 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(apart, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = both.withColumn("__new", F.when(F.size(spans) > 0, whole).otherwise(text))
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.length("__new").cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns])
+
+    def rewritten(spans: Column) -> Column:
+        done = F.aggregate(spans, start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+        return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    out = both.select("row", _bound(spans, rewritten).alias("new"))
+    return out.select(*[F.col("new").alias("text") if c == "text" else F.length("new").cast("long").alias("n_chars") if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _slim(b: Column) -> Column:
