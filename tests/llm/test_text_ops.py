@@ -448,6 +448,20 @@ def test_patterns_find_unseen_identifiers_and_leave_others_alone(spark):
     assert all(len(out[i].spans) == (1 if i <= 20 else 0) for i in out)
 
 
+def test_a_text_of_20000_numbers(spark):
+    texts = [" ".join(f"a{i}" for i in range(20_000)), " ".join(f"a{i}@b.c 10.0.0.{i % 256}" for i in range(500))]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(rows[0].other) == 20_000 and all(texts[0][c.s : c.e] == c.m for c in rows[0].other)
+    assert [(b.s, b.k, b.e) for b in rows[1].base] == plain_base(texts[1]) and not rows[1].other
+
+
+def test_redaction_of_tables_with_clashing_columns(spark):
+    names = ["__new", "__added", "__d", "__g", "row", "t", "d", "g", "i", "h", "added", "new"]
+    df = spark.createDataFrame([(1, "to a.b@c.de", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = pii.redact(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "to [EMAIL]", *names)]
+
+
 def test_redaction(odd, none, spark):
     df = spark.createDataFrame([(1, "to a.b@c.de or +1 (988) 555-2485, at 10.0.0.1", 0, "x"), (2, None, 0, "x"), (2, "é 4111 1111 1111 1111", 0, "x")], "doc_id long, text string, n_chars long, spans string")
     got = sorted((r.doc_id, r.text or "", r.n_chars or 0, r.spans) for r in pii.redact(df).collect())
@@ -540,3 +554,52 @@ def test_equal_rows_are_cut_too(spark):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+# --- texts that are built to make hashes collide
+
+
+def thue_morse(letters):
+    """A word over {a, b} and its complement: polynomials modulo a power of two can't tell them apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(letters))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, letters):
+    one, other = thue_morse(letters)
+    plain = Tokenizer.from_file(WORDS)
+    got = packing.WordTokenizer(WORDS).encode(pa.array([one, other, f"{one} {other}"]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in (one, other, f"{one} {other}")]
+    before = " ".join(f"w{i}" for i in range(49))
+    docs = [(1, f"{before} {one}"), (2, f"{before} {other}"), (3, f"{before} {one}")]
+    # words that make such a sequence, too
+    docs += [(4 + i, " ".join(["left" if c == "a" else "right" for c in x])) for i, x in enumerate((one, other))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.remove_repeats(df).collect())
+    assert got == plain_repeats(docs, 50)
+    out = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")).collect()}
+    assert out[1] == [] and out[3] == [0]
+    assert lines.similar(one, other, 0.8) and out[2] in ([], [0])  # similar by shifted letters, not equal: found if they meet
+
+
+def test_confused_runs_are_tokenized_text_by_text(monkeypatch):
+    """If the first hash can't tell runs apart, the second one can."""
+    whole = packing.span_hashes
+    coder = packing.WordTokenizer(WORDS)
+    monkeypatch.setattr(packing, "span_hashes", lambda d, s, e, key: whole(d, s, e, key) & np.uint64(0xF if key == coder.secret[0] else 2**64 - 1))
+    plain = Tokenizer.from_file(WORDS)
+    texts = ["the quick brown fox jumps over the lazy dog again and again", "some other words, 12 of them", None]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(pa.array(texts))] == [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_window_hashes():
+    from tidemark.llm._common import PRIME, window_hashes
+
+    random.seed(3)
+    values = [random.getrandbits(64) for _ in range(90)] + [2**64 - 1, PRIME, 0]
+    for width in (1, 2, 7, 50, 64, 93, 94):
+        base = random.randrange(2, PRIME)
+        want = [sum(x * pow(base, width - 1 - t, PRIME) for t, x in enumerate(values[i : i + width])) % PRIME for i in range(len(values) - width + 1)]
+        assert window_hashes(np.array(values, np.uint64), width, base).tolist() == want

@@ -19,10 +19,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/tidemark/{sc.applicationId}"
@@ -171,6 +173,44 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int =
     return out
 
 
+#: A prime; numbers below it are hashed modulo it.
+PRIME = (1 << 61) - 1
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below 2 ** 61, in halves of 32 bits."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    p, al, ah, bl, bh = np.uint64(PRIME), a & low, a >> half, np.uint64(b & 0xFFFFFFFF), np.uint64(b >> 32)
+    middle, bottom = ah * bl + al * bh, al * bl
+    out = ah * bh * np.uint64(8) + (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << half) + (bottom & p) + (bottom >> np.uint64(61))
+    return _below(out)
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp hashes modulo PRIME of every run of ``width`` values, put together from runs of 1, 2, 4, ... values."""
+    n = len(values)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    runs, size = {1: _below(values)}, 1
+    while 2 * size <= width:
+        own = runs[size]
+        runs[2 * size] = _below(_times(own[:-size], pow(base, size, PRIME)) + own[size:])
+        size *= 2
+    out, have = runs[size], size
+    while have < width:
+        size = 1 << (width - have).bit_length() - 1
+        m = n - have - size + 1
+        out = _below(_times(out[:m], pow(base, size, PRIME)) + runs[size][have : have + m])
+        have += size
+    return out
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of the rows of a text column, found over the whole Arrow buffer.
 

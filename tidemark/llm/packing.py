@@ -12,6 +12,7 @@ best-fit decreasing gives.
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import Rolling, flat, lower_ascii, mix, save, slices
+from ._common import flat, lower_ascii, save, slices, span_hashes, texts
 
 WINDOW = 2048
 #: Runs that a Python worker remembers; beyond them it starts anew. Bounds memory only, never results.
@@ -47,7 +48,8 @@ class WordTokenizer:
 
     Each Arrow batch is cut at those places with numpy (words with apostrophes or letters beyond Latin only at spaces),
     and only runs that this worker has not met are tokenized, many at a time, with a special token between them that
-    ordinary text can't produce. Known runs are found by a 64-bit hash in one sorted array. Strings of special tokens
+    ordinary text can't produce. Known runs are found by a 64-bit hash in one sorted array, and a second one must agree; both
+    have keys that each worker draws. Where they don't agree, the batch is tokenized text by text. Strings of special tokens
     in a text are ordinary text.
     """
 
@@ -57,10 +59,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = min(special.items(), key=lambda x: x[1])
+        self.secret = secrets.randbits(64), secrets.randbits(64)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, runs: list[str]) -> list[np.ndarray]:
@@ -77,13 +80,14 @@ class WordTokenizer:
             out += [ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
         return out
 
-    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, runs: list[str]) -> None:
         found = self._encode(runs)
         count = np.array([len(x) for x in found], np.int64)
         first = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, *found])
-        keys = np.concatenate([self.keys, keys])
+        keys, checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
         order = np.argsort(keys, kind="stable")
+        self.checks = checks[order]
         self.keys, self.first, self.count = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
     def encode(self, column: pa.Array) -> list[bytes]:
@@ -105,7 +109,9 @@ class WordTokenizer:
         stops = kind != 0
         stops[:-1] &= (kind[1:] == 0) | starts[1:]
         start, end = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-        inverse, unique = pd.factorize(_run_hashes(lower_ascii(data), start, end))
+        lowered = lower_ascii(data)
+        inverse, unique = pd.factorize(span_hashes(lowered, start, end, self.secret[0]))
+        checks = span_hashes(lowered, start, end, self.secret[1])
         at = np.empty(len(unique), np.int64)
         at[inverse[::-1]] = np.arange(len(inverse))[::-1]
         place = np.searchsorted(self.keys, unique)
@@ -114,8 +120,11 @@ class WordTokenizer:
         if new.any():
             raw = data.tobytes()
             runs = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-            self._learn(unique[new], runs)
+            self._learn(unique[new], checks[at[new]], runs)
             place = np.searchsorted(self.keys, unique)
+        if (self.checks[place][inverse] != checks).any():
+            self.tokenizer.encode_special_tokens = True
+            return [np.array(self.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts(column)]
         lengths = self.count[place][inverse]
         upto = np.r_[0, np.cumsum(lengths)]
         ids = self.pool[np.repeat(self.first[place][inverse] - upto[:-1], lengths) + np.arange(upto[-1])].astype("<u4").tobytes()
@@ -123,15 +132,6 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(rows, rows[1:])]
 
 
-_ROLL = Rolling(0x9E6C63D0876A9A47)
-
-
-def _run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        sums = _ROLL.prefix(data.astype(np.uint64) + np.uint64(1))
-        return mix(_ROLL.runs(sums, start, end) + (end - start).astype(np.uint64))
-
-
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each file and Python worker."""

@@ -9,28 +9,31 @@ repeats: each window is stood for by the smallest hash of the shorter runs (``an
 have equal smallest runs, so a window whose smallest run stands in one document only has no equal elsewhere. Runs
 are about a sixteenth as many as windows, as neighbours share them. The windows that are left are hashed
 whole and counted in Spark; the first pass never decides that a window is a repeat.
+
+Whole windows are hashed twice, modulo the prime 2 ** 61 - 1, with bases and word hashes that are drawn anew for every run: windows that
+differ agree in both with a probability of about 2 ** -110, whatever the texts.
 """
 
 from __future__ import annotations
 
-import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Rolling, Words, drop, mix, save, slices
+from ._common import PRIME, Rolling, Words, drop, mix, save, slices, span_hashes, texts as strings, window_hashes
 
 WIDTH, ANCHOR = 50, 18
 _RUNS = Rolling(0xD1342543DE82EF95)
 
 
-def _windows(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window that lies in one row: its first word, its hash and its smallest run's hash."""
+def _windows(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window that lies in one row: its first word, and its smallest run's hash."""
     n = len(words.start)
     if n < width:
-        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums = _RUNS.prefix(words.hashes())
     at = np.arange(n - anchor + 1)
     low = mix(_RUNS.runs(sums, at, at + anchor))
@@ -41,8 +44,19 @@ def _windows(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np.ndar
         have += step
     first = np.arange(n - width + 1)
     inside = words.row[first] == words.row[first + width - 1]
-    first = first[inside]
-    return first, mix(_RUNS.runs(sums, first, first + width)), low[inside]
+    return first[inside], low[inside]
+
+
+def _whole(words: Words, first: np.ndarray, width: int, draws: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The hashes of the windows that start at the words ``first``, one for each (key, base)."""
+    n = len(words.start)
+    marks = np.zeros(n + 1, np.int64)
+    marks[first] += 1
+    marks[first + width] -= 1
+    covered = np.cumsum(marks[:n]) > 0  # only words of these windows, which stay next to each other
+    at = (np.cumsum(covered) - 1)[first]
+    start, end = words.start[covered], words.end[covered]
+    return [window_hashes(span_hashes(words.data, start, end, key), width, base)[at] for key, base in draws] if len(first) else [np.zeros(0, np.uint64)] * 2
 
 
 def _unique(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -60,7 +74,7 @@ def _first_pass(width: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
-            first, _, low = _windows(words, width, anchor)
+            first, low = _windows(words, width, anchor)
             row = words.row[first]
             change = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1])]) if len(low) else np.zeros(0, np.int64)
             row, low = row[change], low[change]
@@ -70,11 +84,11 @@ def _first_pass(width: int, anchor: int):
     return run
 
 
-def _second_pass(width: int, anchor: int):
+def _second_pass(width: int, anchor: int, draws: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
-            first, whole, low = _windows(words, width, anchor)
+            first, low = _windows(words, width, anchor)
             row = words.row[first]
             flags = batch.column("flags")
             ends = flags.offsets.to_numpy()
@@ -82,10 +96,11 @@ def _second_pass(width: int, anchor: int):
             owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(ends))
             with np.errstate(over="ignore"):
                 hit = np.isin(mix(row.astype(np.uint64) + _SALT) ^ low, mix(owner + _SALT) ^ values)
-            first, whole, row = first[hit], whole[hit], row[hit]
+            first, row = first[hit], row[hit]
+            whole = _whole(words, first, width, draws)
             at = pa.array(row)
             position = (first - words.first[row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_long(whole), batch.column("doc_id").take(at), batch.column("digest").take(at), pa.array(position)], ["h", "doc_id", "digest", "position"])
+            yield pa.RecordBatch.from_arrays([*map(_long, whole), batch.column("doc_id").take(at), batch.column("digest").take(at), pa.array(position)], ["h", "i", "doc_id", "digest", "position"])
 
     return run
 
@@ -96,33 +111,34 @@ _SALT = np.uint64(0xA24BAED4963EE407)
 def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, digest, copy, starts): what is repeated in each row of ``docs`` (doc_id, text, digest), where anything is.
 
-    copy: the whole text stands in an earlier document. starts: else, the first words of its windows that start in an
+    copy: the whole text stands in an earlier document (by its SHA-256). starts: else, the first words of its windows that start in an
     earlier document too. Of equal texts the one with the smallest doc_id stands for all, so large groups of copies
     cost as much as one text. All counts are grouped minima and maxima (combined before the shuffle), all look-ups
     equality joins whose hot keys Spark splits.
     """
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null")
-    ids = save(known.select("doc_id", "digest").distinct(), "ids", spark)
-    firsts = save(ids.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "firsts", spark)
+    ids = save(known.select("doc_id", "digest", F.unhex(F.sha2("text", 256)).alias("whole")).distinct(), "ids", spark)
+    firsts = save(ids.groupBy("whole").agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("digest")), "firsts", spark)
 
     # Runs that stand in two texts or more, and for each text the ones it has.
     anchors = save(known.mapInArrow(_first_pass(width, anchor), "h long, digest long"), "anchors", spark)
     shared = anchors.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select(F.col("h").alias("k"))
     shared = save(shared, "anchors-shared", spark)  # written, so that Spark can split hot keys of the join
     flags = anchors.join(shared, F.col("h") == F.col("k")).groupBy("digest").agg(F.collect_set("h").alias("flags"))
-    flags = save(flags.join(firsts, "digest").select(F.col("first_id").alias("d"), F.col("digest").alias("g"), "flags"), "flags", spark)
+    flags = save(flags.join(firsts.drop("whole"), "digest").select(F.col("first_id").alias("d"), F.col("digest").alias("g"), "flags"), "flags", spark)
     drop(anchors, shared)
 
     # The windows that may be repeats, whole.
+    draws = [(secrets.randbits(64), secrets.randbelow(PRIME - 2) + 2) for _ in range(2)]
     marked = known.join(flags.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g"))).select("doc_id", "text", "digest", "flags")
-    windows = save(marked.mapInArrow(_second_pass(width, anchor), "h long, doc_id long, digest long, position int"), "windows", spark)
+    windows = save(marked.mapInArrow(_second_pass(width, anchor, draws), "h long, i long, doc_id long, digest long, position int"), "windows", spark)
     drop(flags)
-    earliest = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(F.col("h").alias("k"), "a")
+    earliest = windows.groupBy("h", "i").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(F.col("h").alias("k"), F.col("i").alias("l"), "a")
     earliest = save(earliest, "windows-earliest", spark)
-    found = windows.join(earliest, F.col("h") == F.col("k")).where("doc_id > a")
+    found = windows.join(earliest, (F.col("h") == F.col("k")) & (F.col("i") == F.col("l"))).where("doc_id > a")
     starts = found.groupBy("doc_id", "digest").agg(F.collect_set("position").alias("starts"))
-    copies = ids.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("starts"))
+    copies = ids.join(firsts.drop("digest"), "whole").where("doc_id > first_id").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("starts"))
     out = save(starts.union(copies).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("starts").isNull().alias("copy"), "starts"), "repeats", spark)
     drop(windows, earliest, ids, firsts)
     return out
