@@ -1,6 +1,7 @@
 """The store against a dictionary, and its failures."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -8,6 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidemark.errors import CommitConflict, Corruption, Frozen, InvalidArgument, NotFound
 from tidemark.operators.batch import WriteBatch
 from tidemark.options import Options
+from tidemark.sources import manifest
 from tidemark.sources.store import Store
 
 SCHEMA = StructType([StructField("k", StringType()), StructField("v", StringType())])
@@ -73,7 +75,88 @@ def test_a_writer_that_died_leaves_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     again = Store.open(spark, path, SCHEMA)
     assert live(again) == {"a": "1"} and again.sync() == 1
-    assert len(again.folder.list("runs")) == 1
+    assert again.vacuum() == [] and len(again.vacuum(lease=0)) == 1 and len(again.folder.list("runs")) == 1
+    again.put("a", "3")
+    assert live(Store.open(spark, path, SCHEMA)) == {"a": "3"}
+
+
+def test_opening_does_not_disturb_a_commit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "db")
+    store = Store.open(spark, path, SCHEMA)
+    store.put("a", "1")
+    whole = manifest.publish
+
+    def publish(*a):
+        other = Store.open(spark, path, SCHEMA)  # between the run and its publication
+        assert live(other) == {"a": "1"} and other.vacuum() == []
+        whole(*a)
+
+    monkeypatch.setattr("tidemark.sources.store.publish", publish)
+    store.put("b", "2")
+    monkeypatch.undo()
+    assert live(Store.open(spark, path, SCHEMA)) == {"a": "1", "b": "2"}
+
+
+def test_two_publishes_at_once(spark, tmp_path):
+    path = str(tmp_path / "db")
+    folder = Store.open(spark, path, SCHEMA).folder
+    base = manifest.current(folder)
+    assert base.version == 0
+
+    def publish(i):
+        try:
+            manifest.publish(folder, base, base.edit(set(), [], last_sequence=i))
+            return i
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(publish, range(1, 9)) if x]
+    assert len(won) == 1 and manifest.current(folder).last_sequence == won[0]
+    assert not [n for n in folder.list("manifest") if n.endswith(".tmp")]
+
+
+def test_a_commit_counts_from_the_rename_on(spark, tmp_path):
+    """The writer dies before it swaps the pointer: the commit is there, and the next one builds on it."""
+    path = str(tmp_path / "db")
+    store = Store.open(spark, path, SCHEMA)
+    store.put("a", "1")
+    store.folder.swap("CURRENT", "0\n")
+    again = Store.open(spark, path, SCHEMA)
+    assert live(again) == {"a": "1"}
+    again.put("b", "2")
+    assert live(Store.open(spark, path, SCHEMA)) == {"a": "1", "b": "2"}
+
+
+def test_pins_of_another_store(spark, tmp_path):
+    path = str(tmp_path / "db")
+    writer = Store.open(spark, path, SCHEMA)
+    writer.put("a", "1")
+    reader = Store.open(spark, path, SCHEMA)
+    version, view = reader.pin(), reader.scan()
+    writer.put("a", "2")
+    writer.compact(0)
+    assert len(writer.vacuum()) == 1  # of the second commit, which nobody pins
+    assert [r["v"] for r in view.collect()] == ["1"]
+    reader.unpin(version)
+    assert len(writer.vacuum()) == 1
+
+
+def test_commits_flush_by_themselves(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "db"), SCHEMA, Options(write_buffer_size=600_000))
+    for i in range(8):
+        store.put("k", str(i))
+    assert len([r for r in store.manifest.runs if r.level == 0]) < 8 and live(store) == {"k": "7"} and store.log().count() == 8
+
+
+def test_one_write_makes_many_runs(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "db"), SCHEMA, Options(level0_trigger=1, max_file_size=8192))
+    rows = spark.range(4000).selectExpr("id AS ord", "1 AS t", "format_string('%06d', id) AS k", "repeat(uuid(), 3) AS v")
+    store.write_frame(rows, ["ord"])
+    store.compact(0)
+    runs = [r for r in store.manifest.runs if r.level == 1]
+    assert len(runs) > 3 and sum(r.n_entries for r in runs) == 4000 and len({r.path.split("/")[0] for r in runs}) == 1
+    assert len(store.vacuum()) == 1 and Store.open(spark, str(tmp_path / "db"), SCHEMA).scan("000100", "000200").count() == 100
 
 
 def test_two_writers(spark, tmp_path):

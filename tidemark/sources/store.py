@@ -18,7 +18,7 @@ from ..operators import compaction, levels, views
 from ..operators.batch import WriteBatch, assign_sequences
 from ..operators.ordering import union
 from ..options import DELETE, LEVELS, MAX_KEY_BYTES, MAX_SEQUENCE, Options
-from .manifest import Folder, Manifest, Run, current, publish
+from .manifest import Folder, Manifest, Run, at_version, current, publish, versions
 
 
 class Snapshot:
@@ -43,7 +43,7 @@ class Store:
 
     @staticmethod
     def open(spark: SparkSession, path: str | None, schema: StructType, options: Options | None = None) -> Store:
-        """Open or create a store; without a path, one in memory. What a writer that died left behind is removed."""
+        """Open or create a store; without a path, one in memory. Opening deletes nothing, so a commit under way elsewhere goes on; :meth:`vacuum` clears up."""
         names = [f.name for f in schema.fields]
         if not names or {"seq", "t", "ord"} & set(names):
             raise InvalidArgument("the schema needs a key, and no column called seq, t or ord")
@@ -55,13 +55,6 @@ class Store:
             folder.write(f"manifest/{0:020d}.json", Manifest().to_json(), overwrite=True)
             folder.swap("CURRENT", "0\n")
         manifest = current(folder)
-        live = {r.path for r in manifest.runs}
-        for name in folder.list("runs"):
-            if name not in live:
-                folder.delete(f"runs/{name}")
-        for name in folder.list("manifest"):
-            if name.split(".")[0] > f"{manifest.version:020d}":
-                folder.delete(f"manifest/{name}")
         store = Store(spark, folder, schema, options, manifest)
         if options.verify:
             store.verify()
@@ -117,6 +110,7 @@ class Store:
         self._open()
         if batch_id and batch_id[1] <= self._manifest.batches.get(batch_id[0], -1):
             return self._manifest.last_sequence
+        staged = mutations = self._staged(mutations) if self.folder is not None else mutations.persist()  # read several times, evaluated once
         self._check(mutations)
         numbered = assign_sequences(mutations, order, self._manifest.last_sequence).select("seq", "t", *[f.name for f in self.schema.fields])
         payload = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in self.schema.fields]
@@ -124,13 +118,21 @@ class Store:
         batches = {**self._manifest.batches, **({batch_id[0]: batch_id[1]} if batch_id else {})}
         if run is None:
             self._publish(self._manifest.edit(set(), [], batches=batches))
+            self._unstage(staged)
             return self._manifest.last_sequence
         user = frame.agg(F.sum(sum(payload[1:], payload[0]))).first()[0] or 0
         if run.max_sequence > MAX_SEQUENCE:
             raise InvalidArgument("sequences are used up")
         self._publish(self._manifest.edit(set(), [run], last_sequence=run.max_sequence, next_number=run.number + 1, batches=batches, user_bytes=self._manifest.user_bytes + user, flushed_bytes=self._manifest.flushed_bytes + run.file_size))
+        if self.folder is not None:
+            self._unstage(staged)
+        if self._small() and sum(r.file_size for r in self._small()) >= self.options.write_buffer_size:
+            self.flush()
         return run.max_sequence
 
+    def _small(self) -> list[Run]:
+        return [r for r in self._manifest.runs if r.level == 0 and r.file_size < self.options.write_buffer_size]
+
     def _check(self, mutations: DataFrame) -> None:
         size = F.octet_length(F.col(self.key).cast("string")) if self.schema[0].dataType.typeName() != "binary" else F.octet_length(self.key)
         bad = mutations.where(F.col(self.key).isNull() | (size == 0) | (size > MAX_KEY_BYTES) | F.col("t").isNull() | ~F.col("t").isin(0, 1))
@@ -142,7 +144,6 @@ class Store:
 
     def _write_run(self, rows: DataFrame, level: int, number: int) -> tuple[Run | None, DataFrame]:
         """Write sorted rows as a run and read its statistics back; no run for no rows."""
-        order = [F.col(self.key), F.desc("seq"), F.desc("t")]
         name = f"run-{number:06d}-{uuid.uuid4().hex[:8]}"
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in self._run_schema().fields])
         if self.folder is None:
@@ -150,10 +151,7 @@ class Store:
             self._memory[number] = frame
             size = frame.count() * 64
         else:
-            writer = shaped.repartitionByRange(self.key).sortWithinPartitions(*order).write
-            if self.options.bloom_bits:
-                writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self.options.expected_keys))
-            writer.parquet(f"{self.folder.path}/runs/{name}")
+            self._writer(shaped.repartitionByRange(self.key)).parquet(f"{self.folder.path}/runs/{name}")
             frame = self.spark.read.schema(self._run_schema()).parquet(f"{self.folder.path}/runs/{name}")
             size = self.folder.size(f"runs/{name}")
         found = compaction.file_metadata(frame.withColumn("run", F.lit(number)), names=self.names).first()
@@ -200,7 +198,7 @@ class Store:
         return found.select(*[f.name for f in self.schema.fields])
 
     def prefix(self, prefix, snapshot: Snapshot | int | None = None) -> DataFrame:
-        found = views.prefix_scan(self.log(prefix), prefix, self._as_of(snapshot), self.names)
+        found = views.prefix_scan(self.log(prefix, prefix + (chr(0x10FFFF) * 4 if isinstance(prefix, str) else b"\xff" * MAX_KEY_BYTES)), prefix, self._as_of(snapshot), self.names)
         return found.select(*[f.name for f in self.schema.fields])
 
     def get(self, key, snapshot: Snapshot | int | None = None) -> tuple:
@@ -238,15 +236,20 @@ class Store:
         return min([s.sequence for s in self._snapshots], default=self._manifest.last_sequence)
 
     def pin(self) -> int:
-        """Keep the files of the present version until :meth:`unpin`; the version's number."""
+        """Keep the files of the present version until :meth:`unpin`, whoever vacuums the folder; the version's number."""
         v = self._manifest.version
-        self._pinned.setdefault(v, [self._manifest, 0])[1] += 1
+        own = self._pinned.setdefault(v, [self._manifest, 0, f"pins/{v:020d}-{uuid.uuid4().hex}"])
+        if self.folder is not None and not own[1]:
+            self.folder.write(own[2], "")
+        own[1] += 1
         return v
 
     def unpin(self, version: int) -> None:
         if version in self._pinned:
             self._pinned[version][1] -= 1
             if not self._pinned[version][1]:
+                if self.folder is not None:
+                    self.folder.delete(self._pinned[version][2])
                 del self._pinned[version]
 
     # --- maintenance ----------------------------------------------------------------------------------------------
@@ -258,9 +261,11 @@ class Store:
         return self.spark.createDataFrame([(r.level, r.number, r.smallest[0], r.largest[0], r.file_size) for r in self._manifest.runs], schema)
 
     def flush(self) -> bool:
-        """Rewrite the level-0 runs that are smaller than the write buffer as one, with all versions and deletes. False if there are not two."""
+        """Rewrite the level-0 runs that are smaller than the write buffer as one, with all versions and deletes. False if there are not two.
+
+        A commit after which they add up to the write buffer does so by itself."""
         self._open()
-        small = [r for r in self._manifest.runs if r.level == 0 and r.file_size < self.options.write_buffer_size]
+        small = self._small()
         if len(small) < 2:
             return False
         m = self._manifest
@@ -281,7 +286,8 @@ class Store:
             return False
         chosen = {r["number"] for r in levels.inputs(files, level, seed["number"]).select("number").collect()}
         taken = [r for r in self._manifest.runs if r.number in chosen]
-        log = levels.base_level(self._read(taken), self.key, files, level)
+        deeper = any(r.level >= level + 2 for r in self._manifest.runs)
+        log = levels.base_level(self._read(taken), self.key, files, level) if deeper else self._read(taken).withColumn("base", F.lit(True))
         judged = compaction.judged(log, self.smallest_snapshot(), "base", self.names)
         if self.folder is not None:
             judged = self._staged(judged)
@@ -290,54 +296,79 @@ class Store:
         gone = judged.where("drop").agg(F.count_if(F.col("t") == 1), F.count_if(F.col("t") == DELETE)).first()
         kept = judged.where("not drop").drop("drop", "base")
         parts = max(1, -(-sum(r.file_size for r in taken) // self.options.max_file_size))
-        added, number = [], self._manifest.next_number
-        for piece in self._pieces(kept, parts):
-            run, _ = self._write_run(piece, level + 1, number)
-            if run is not None:
-                added.append(run)
-                number += 1
+        added, number = self._write_pieces(kept, parts, level + 1, self._manifest.next_number)
         written = sum(r.file_size for r in added)
         m = self._manifest
         self._publish(m.edit(chosen, added, next_number=number, compacted_bytes=m.compacted_bytes + written, dropped_old=m.dropped_old + gone[0], dropped_tombstones=m.dropped_tombstones + gone[1]))
-        if self.folder is not None:
-            self.folder.delete("staging")
+        self._unstage(judged)
         return True
 
+    def _unstage(self, df: DataFrame) -> None:
+        if self.folder is None:
+            df.unpersist()
+        else:
+            self.folder.delete(f"staging/{df._tidemark_name}")
+
     def _staged(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder.path}/staging/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _pieces(self, rows: DataFrame, parts: int) -> list[DataFrame]:
-        """Disjoint key ranges of about equal rows; a key is never in two. Boundaries are keys of a bounded sample."""
-        if parts == 1:
-            return [rows]
-        drawn = [r[0] for r in rows.select(self.key).orderBy(F.xxhash64(self.key, "seq")).limit(4096).collect()]
-        drawn.sort()
-        bounds = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
-        k = F.col(self.key)
-        edges = [None, *bounds, None]
-        return [rows.where((F.lit(True) if a is None else k >= F.lit(a)) & (F.lit(True) if b is None else k < F.lit(b))) for a, b in zip(edges, edges[1:])]
-
-    def compact_until_stable(self, most: int = 64) -> int:
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.folder.path}/staging/{name}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.folder.path}/staging/{name}")
+        out._tidemark_name = name
+        return out
+
+    def _write_pieces(self, rows: DataFrame, parts: int, level: int, number: int) -> tuple[list[Run], int]:
+        """Runs of disjoint key ranges, one for each file of a single sorted write (a key is never in two), and the next number."""
+        if self.folder is None or parts == 1:
+            run, _ = self._write_run(rows, level, number)
+            return ([run], number + 1) if run else ([], number)
+        name = f"run-{number:06d}-{uuid.uuid4().hex[:8]}"
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in self._run_schema().fields])
+        self._writer(shaped.repartitionByRange(parts, self.key)).parquet(f"{self.folder.path}/runs/{name}")
+        frame = self.spark.read.schema(self._run_schema()).parquet(f"{self.folder.path}/runs/{name}")
+        found = compaction.file_metadata(frame.withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -1)), names=self.names).collect()
+        added = []
+        for x in sorted(found, key=lambda x: x["smallest_k"]):
+            ends = [tuple(x[f"{side}_{y}"] for y in ("k", "seq", "t")) for side in ("smallest", "largest")]
+            path = f"{name}/{x['number']}"
+            added.append(Run(level, number + len(added), path, x["n_entries"], self.folder.size(f"runs/{path}"), x["max_sequence"], *ends))
+        return added, number + len(added)
+
+    def _writer(self, rows: DataFrame):
+        writer = rows.sortWithinPartitions(F.col(self.key), F.desc("seq"), F.desc("t")).write
+        if self.options.bloom_bits:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self.options.expected_keys)).option(f"parquet.bloom.filter.fpp#{self.key}", str(max(0.6185**self.options.bloom_bits, 1e-9)))
+        return writer
+
+    def compact_until_stable(self) -> int:
         """Rounds done until no level is due."""
         done = 0
-        while done < most and self.compact():
+        while self.compact():
             done += 1
         return done
 
-    def vacuum(self) -> list[str]:
-        """Delete run folders that neither the present version nor a pinned one names; their names."""
+    def vacuum(self, lease: float | None = None) -> list[str]:
+        """Delete run folders that neither the present version nor a pinned one names; their names.
+
+        Pins of other stores on the folder count. What no manifest has named may belong to a commit that is under way, and goes once it is
+        older than ``lease`` seconds (by default the option's).
+        """
         self._open()
-        live = {r.path for m in [self._manifest, *(p[0] for p in self._pinned.values())] for r in m.runs}
-        gone = [] if self.folder is None else [n for n in self.folder.list("runs") if n not in live]
+        if self.folder is None:
+            return []
+        lease, folder = self.options.lease if lease is None else lease, self.folder
+        present = current(folder)
+        keep = {present.version, self._manifest.version, *self._pinned, *(int(n.split("-")[0]) for n in folder.list("pins"))}
+        old = {v: at_version(folder, v) for v in versions(folder) if v <= present.version}
+        live = {r.path.split("/")[0] for v in keep & set(old) for r in old[v].runs}
+        retired = {r.path.split("/")[0] for m in old.values() for r in m.runs} - live
+        gone = [n for n in folder.list("runs") if n in retired or (n not in live and folder.age(f"runs/{n}") >= lease)]
         for name in gone:
-            self.folder.delete(f"runs/{name}")
-        if self.folder is not None:
-            keep = {f"{v:020d}.json" for v in [self._manifest.version, *self._pinned]}
-            for name in self.folder.list("manifest"):
-                if name not in keep:
-                    self.folder.delete(f"manifest/{name}")
+            folder.delete(f"runs/{name}")
+        for v in set(old) - keep:
+            folder.delete(f"manifest/{v:020d}.json")
+        for name in [*(f"staging/{n}" for n in folder.list("staging")), *(f"manifest/{n}" for n in folder.list("manifest") if n.endswith(".tmp"))]:
+            if folder.age(name) >= lease:
+                folder.delete(name)
         return gone
 
     def level_stats(self) -> DataFrame:
