@@ -22,6 +22,11 @@ BUCKETS = 1 << 18
 SAMPLE = 20_000
 #: Terms are learned whose share among toxic texts is off by so many standard deviations, in at least LEAST texts.
 SURE, LEAST = 3.5, 5
+#: So are the terms of pairs that are off by PAIR_SURE from what the two terms make expect one by one; pairs are counted among the POOL
+#: terms without an effect of their own that are in most texts (a size of the model, like BUCKETS), and only those in over PAIR_LEAST texts.
+PAIR_SURE, PAIR_LEAST, POOL = 8.0, 30, 1024
+#: One text in so many is left out to learn how scores of unseen texts are scaled.
+FOLD = 5
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 30, 256, 0.1, 2e-4, 11
 
 _BETWEEN = np.ones(256, bool)
@@ -69,9 +74,81 @@ def _raw(m: Machine, own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return m.w0 + _sums(m.w[own], first) + 0.5 * (s * s - _sums(v * v, first)).sum(axis=1), s
 
 
+def _paired(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, held: np.ndarray, hit: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Buckets without an effect of their own (not in ``own``) that tell toxic texts together with another such one.
+
+    A pair is held against the additive model: the log odds of its two terms together, less those of all texts.
+    """
+    n = len(label)
+    free = np.setdiff1d(np.flatnonzero((held >= PAIR_LEAST) & (held < n)), own)
+    pool = np.sort(free[np.argsort(-np.minimum(held[free], n - held[free]), kind="stable")][:POOL])
+    if len(pool) < 2:
+        return pool[:0]
+    at = np.searchsorted(pool, bucket)
+    inside = pool[np.minimum(at, len(pool) - 1)] == bucket
+    row, at = row[inside], at[inside]
+    both, toxic = (np.zeros((len(pool), len(pool)), np.float32) for _ in range(2))
+    for a in range(0, n, 2048):
+        use = slice(*np.searchsorted(row, [a, a + 2048]))
+        has = np.zeros((min(2048, n - a), len(pool)), np.float32)
+        has[row[use] - a, at[use]] = 1
+        both += has.T @ has
+        has = has[label[a : a + 2048] > 0]
+        toxic += has.T @ has
+    odds = np.log((hit[pool] + 0.5) / (held[pool] - hit[pool] + 0.5))
+    rate = _sigmoid(odds[:, None] + odds[None, :] - np.log((label.sum() + 0.5) / (n - label.sum() + 0.5)))
+    off = np.abs(toxic - both * rate) >= PAIR_SURE * np.sqrt(both * rate * (1 - rate))
+    off &= both >= PAIR_LEAST
+    np.fill_diagonal(off, False)
+    return pool[off.any(axis=0)]
+
+
+def _some(first: np.ndarray, bucket: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the given texts alone."""
+    lengths = first[texts + 1] - first[texts]
+    ends = np.r_[0, np.cumsum(lengths)]
+    return ends, bucket[np.arange(ends[-1]) + np.repeat(first[texts] - ends[:-1], lengths)]
+
+
 def fit(first: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
-    """Learn from texts given as runs of distinct buckets (text i: ``first[i]`` to ``first[i + 1]``) and labels 0 or 1,
-    by AdaGrad on the logistic loss. Without both labels, the score is the same for all: (toxic + 0.5) / (all + 2)."""
+    """Learn from texts given as runs of distinct buckets (text i: ``first[i]`` to ``first[i + 1]``) and labels 0 or 1.
+
+    A machine learned from all but every FOLD-th text of a random order scores those, which says how raw scores of unseen texts are
+    to be scaled and shifted to be probabilities; the machine learned from all texts is scaled and shifted likewise. Without
+    both labels, the score is the same for all: (toxic + 0.5) / (all + 2)."""
+    machine = _learn(first, bucket, label)
+    n = len(label)
+    order = np.random.default_rng(SEED + 1).permutation(n)
+    unseen, seen = np.sort(order[::FOLD]), np.sort(np.delete(order, np.s_[::FOLD]))
+    toxic = label[unseen].sum()
+    if min(toxic, len(unseen) - toxic) < PAIR_LEAST or not len(machine.w):
+        return machine  # too few to tell
+    other = _learn(*_some(first, bucket, seen), label[seen])
+    ends, own = _some(first, bucket, unseen)
+    row = np.repeat(np.arange(len(unseen)), np.diff(ends))
+    own = other.slot[own]
+    row, own = row[own >= 0], own[own >= 0]
+    slope, shift = _scaled(_raw(other, own, np.searchsorted(row, np.arange(len(unseen) + 1)))[0], label[unseen])
+    return Machine(machine.slot, slope * machine.w0 + shift, slope * machine.w, np.sqrt(slope) * machine.v)
+
+
+def _scaled(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope (above 0) and shift that make ``sigmoid(slope * raw + shift)`` the likeliest, by Newton steps; labels are drawn in a little, so that both are finite."""
+    toxic = label.sum()
+    aim = np.where(label > 0, (toxic + 1) / (toxic + 2), 1 / (len(label) - toxic + 2))
+    x = np.stack([raw, np.ones(len(raw))], axis=1)
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = _sigmoid(x @ at)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - aim))
+        at = at - np.clip(step, -0.5, 0.5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else (1.0, 0.0)
+
+
+def _learn(first: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
+    """The machine of :func:`fit` before its scores are scaled, by AdaGrad on the logistic loss."""
     n, toxic = len(label), float(label.sum())
     rate = (toxic + 0.5) / (n + 2)
     row = np.repeat(np.arange(n), np.diff(first))
@@ -80,6 +157,7 @@ def fit(first: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
     mean = toxic / max(n, 1)
     spread = np.sqrt(np.maximum(held * mean * (1 - mean) * (1 - held / max(n, 1)), 1e-9))
     kept = np.flatnonzero((held >= LEAST) & (np.abs(hit - held * mean) >= SURE * spread) & (held < n))
+    kept = np.union1d(kept, _paired(row, bucket, label, held, hit, kept))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     random = np.random.default_rng(SEED)
@@ -95,9 +173,8 @@ def fit(first: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Machine:
         order = random.permutation(n)
         for at in range(0, n, BATCH):
             texts = order[at : at + BATCH]
-            lengths = first[texts + 1] - first[texts]
-            ends = np.r_[0, np.cumsum(lengths)]
-            f = own[np.arange(ends[-1]) + np.repeat(first[texts] - ends[:-1], lengths)]
+            ends, f = _some(first, own, texts)
+            lengths = np.diff(ends)
             raw, s = _raw(m, f, ends)
             off = (_sigmoid(raw) - label[texts]) / len(texts)
             each = np.repeat(off, lengths)
