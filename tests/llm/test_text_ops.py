@@ -506,6 +506,41 @@ def test_pairs_are_learned():
     assert probe[4] == probe[5]
 
 
+def test_exclusive_pairs_are_learned():
+    """Toxic where one of two terms stands alone: neither says anything by itself."""
+    random.seed(6)
+    texts, labels = [], []
+    for _ in range(3000):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        texts.append(" ".join([random.choice(["one", "two", "three", "four", "five"]) for _ in range(6)] + ["insult"] * a + ["group"] * b))
+        labels.append(float(a != b))
+    row, bucket = toxicity.terms(pa.array(texts))
+    machine = toxicity.fit(np.searchsorted(row, np.arange(len(texts) + 1)), bucket, np.array(labels))
+    assert (machine.score(pa.array(["one insult two", "one group two", "one insult two GROUP!", "one two"])) >= 0.5).tolist() == [True, True, False, False]
+
+
+def test_score_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(2)
+    slot = np.full(toxicity.BUCKETS, -1, np.int32)
+    words = "alpha beta gamma delta".split()
+    _, buckets = toxicity.terms(pa.array(words))
+    slot[buckets[:3]] = np.arange(3)  # the last word counts nothing
+    machine = toxicity.Machine(slot, 0.3, rng.normal(size=3), rng.normal(size=(3, toxicity.FACTORS)))
+    for chosen in ([], [0], [0, 1], [2, 0, 1, 3, 0], [3]):
+        own = sorted(set(chosen) - {3})
+        raw = 0.3 + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for i in own for j in own if i < j)
+        assert abs(machine.score(pa.array([" ".join(words[i] for i in chosen)]))[0] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_scores_are_scaled_by_what_unseen_texts_show():
+    raw = np.linspace(-4, 4, 4001)
+    rng = np.random.default_rng(3)
+    label = (rng.random(4001) < 1 / (1 + np.exp(-(2 * raw + 1)))).astype(float)
+    slope, shift = toxicity._scaled(raw, label)
+    assert abs(slope - 2) < 0.2 and abs(shift - 1) < 0.2
+    assert toxicity._scaled(-raw, label) == (1.0, 0.0)
+
+
 def test_toxicity_of_odd_texts_and_no_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()
@@ -539,6 +574,17 @@ def test_shards(spark, odd, none, documents):
     assert all(abs(s - mean) <= largest + 0.01 * mean for s in sizes.values())
 
 
+def test_equal_texts_share_a_shard_and_runs_grow(spark, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 900).cast("string")).alias("text"))
+    few = {r.doc_id: r.shard for r in sharding.shard(rows, 4).collect()}
+    monkeypatch.setattr(sharding, "RUN_ROWS", 10)
+    monkeypatch.setattr(sharding, "OPEN", 4)
+    many = sharding.shard(rows, 4).collect()
+    check_shards(many, [(i, f"text {i % 900}") for i in range(4000)], 4)
+    for found in (few, {r.doc_id: r.shard for r in many}):
+        assert len(set(found.values())) == 4 and all(found[i] == found[i % 900] for i in found)
+
+
 def test_a_group_of_a_third_of_all_rows_is_cut(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copied text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
     out = sharding.shard(rows, 12).groupBy("shard").agg(F.sum("size").alias("b")).collect()

@@ -17,10 +17,10 @@ from ._common import drop, save
 SHARDS = 24
 #: Splitters are accepted within this share of a shard's mean size, and groups of equal texts smaller than it stay whole.
 TOLERANCE = 0.002
-#: Ranges that a shard is sorted and numbered in, so that a shard may be larger than a task.
-RUNS = 4
-#: Key bits that one round resolves; a round returns at most splitters * 2 ** BITS counts.
-BITS = 10
+#: Ranges that a shard is sorted and numbered in, so that a shard may be larger than a task: at least RUNS, and more where a range would have over RUN_ROWS rows.
+RUNS, RUN_ROWS = 4, 1 << 22
+#: Key bits that one round resolves; fewer where the buckets of a round, one level below all open ones, would be more than 2 ** OPEN.
+BITS, OPEN = 10, 20
 _PARTS = ("k1", "k2", "k3")
 _TOP = 1 << 63
 
@@ -45,17 +45,19 @@ def splitters(keys: DataFrame, targets: list[float], tolerance: float) -> list[t
     keys: k1, k2, k3 and size. A boundary is a prefix of the key, padded with zeros. Each round counts the bytes of the
     buckets one level below the bucket that holds the target, for all open targets together, in one grouped sum; a target is
     settled when an edge of its bucket is within tolerance, or when the bucket is a single key. Only those sums
-    (at most 2 ** BITS for each open target) reach the driver.
+    (at most 2 ** OPEN, or two for each open target if that is more) reach the driver; only open buckets, at most one for each target, are broadcast.
     """
+    spark = keys.sparkSession
     open_: dict[tuple[int, int], list[tuple[int, int]]] = {(0, 0): [(i, 0) for i in range(len(targets))]}  # (prefix bits, depth) -> (target, bytes below)
     done: dict[int, tuple[int, int]] = {}
     while open_:
         depth = next(iter(open_))[1]
-        to = min(depth + BITS, 192)
+        to = min(depth + max(1, min(BITS, OPEN - (len(open_) - 1).bit_length())), 192)
         rows = keys
         if depth:
-            held = F.array(*[F.array(*[F.lit(x) for x in _signed(bits, depth)]) for bits, _ in open_])
-            rows = keys.where(F.array_contains(held, F.array(*[p.cast("long") for p in _prefix(depth)])))
+            names = [f"o{i}" for i in range(len(_prefix(depth)))]
+            held = spark.createDataFrame([tuple(_signed(bits, depth)) for bits, _ in open_], ", ".join(f"{x} long" for x in names))
+            rows = keys.join(F.broadcast(held), [p == F.col(x) for p, x in zip(_prefix(depth), names, strict=True)], "left_semi")
         sums = rows.groupBy(*[p.alias(f"p{i}") for i, p in enumerate(_prefix(to))]).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
         by_parent: dict[int, list[tuple[int, int, int]]] = {}
         for r in sums:
@@ -103,15 +105,15 @@ def _unsigned(parts: list[int], depth: int) -> int:
     return bits << rest | parts[whole] if rest else bits
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, runs: int = RUNS, tolerance: float = TOLERANCE, columns: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, runs: int | None = None, tolerance: float = TOLERANCE, columns: list[str] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, and ``columns`` of docs): every row with its shard and its place there.
 
     Size: UTF-8 bytes of the text (a null text has none) plus 8. Shards are ranges of the key order, so equal texts stay
     in one shard unless a splitter falls among a group larger than the tolerance, which is then cut by doc_id. Slots
     number a shard's rows from 0 without gaps. Rows of one doc_id, null ids and repeated rows each have a place of their
     own; an empty table gives no rows; other columns are ignored unless named in ``columns`` (not the names above).
-    Keys and sizes are written once, so that every round counts the same rows; boundaries and counts by range (shards *
-    runs rows, whatever the input) are all that is collected or broadcast.
+    runs: ranges of a shard, by default as many as the rows ask for. Keys and sizes are written once, so that every round counts the same rows; boundaries and counts by range (shards *
+    runs rows, one for RUN_ROWS rows of a large input) are all that is collected or broadcast.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("binary")
@@ -126,7 +128,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, runs: int = RUNS, tolerance: fl
     )
     rows = save(rows, "shard-keys", spark)
     keys = rows.select("k1", "k2", "k3", "size")
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    runs = runs or max(RUNS, -(-n // (shards * RUN_ROWS)))
     ranges = shards * runs
     found = splitters(keys, [total * i / ranges for i in range(1, ranges)], tolerance * total / shards)
     return _place(rows, found, shards, runs, columns or [])
