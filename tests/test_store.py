@@ -292,3 +292,63 @@ def test_flush_keeps_every_version(spark, tmp_path):
     assert store.flush() and not store.flush()
     assert len(store.manifest.runs) == 1 and store.log().count() == 3
     assert live(store) == {"b": "2"} and live(store, held) == {"a": "1"}
+
+
+def test_cursor_pages(spark, monkeypatch):
+    from tidemark.sources import store as module
+
+    monkeypatch.setattr(module, "PAGE", 3)
+    store = Store.open(spark, None, SCHEMA)
+    batch = WriteBatch()
+    for i in range(11):
+        batch.put(f"k{i:02d}", str(i))
+    store.write(batch)
+    c, seen = store.iterator(), []
+    c.seek_to_first()
+    while c.valid:
+        seen.append(c.key())
+        c.next()
+    assert seen == [f"k{i:02d}" for i in range(11)]
+    back = []
+    c.prev()  # from past the end to the last row
+    while c.valid:
+        back.append(c.key())
+        c.prev()
+    assert back == seen[::-1]
+    c.seek("k05")
+    steps = []
+    for go in (c.next, c.next, c.next, c.prev, c.prev, c.prev, c.prev, c.next):
+        go()
+        steps.append(c.key())
+    assert steps == ["k06", "k07", "k08", "k07", "k06", "k05", "k04", "k05"]
+
+
+def test_a_flipped_byte_is_found(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "db"), SCHEMA)
+    store.put("key", "a value of some length, so that it is stored as it stands")
+    store.verify()
+    file = next((tmp_path / "db" / "runs").rglob("*.parquet"))
+    raw = bytearray(file.read_bytes())
+    raw[raw.index(b"of some") + 1] ^= 1
+    file.write_bytes(bytes(raw))
+    for beside in file.parent.glob(".*.crc"):  # the page's own checksum must do
+        beside.unlink()
+    spark.catalog.clearCache()
+    with pytest.raises(Corruption):
+        store.verify()
+
+
+def test_a_full_store_in_memory_is_frozen(spark):
+    store = Store.open(spark, None, SCHEMA, Options(write_buffer_size=100))
+    store.put("a", "1")
+    store.put("b", "2")
+    with pytest.raises(Frozen):
+        store.put("c", "3")
+    assert live(store) == {"a": "1", "b": "2"}
+
+
+def test_the_key_after_a_prefix():
+    from tidemark.sources.store import _after
+
+    top = chr(0x10FFFF)
+    assert [_after(x) for x in ("ab", "a" + top, top, "", "a\ud7ff", b"a\xff", b"\xff\xff", b"a")] == ["ac", "b", None, None, "a\ue000", b"b", None, b"b"]

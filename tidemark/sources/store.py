@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -61,13 +63,21 @@ class Store:
         return store
 
     def verify(self) -> None:
-        """Every registered run must be there with its rows and its largest sequence."""
+        """Every registered run must be there with its rows and its largest sequence, and every page of it must have its checksum."""
         for r in self._manifest.runs:
             if self.folder is not None and not self.folder.exists(f"runs/{r.path}"):
                 raise Corruption(f"run {r.number} is missing")
         if not self._manifest.runs:
             return
-        found = {x["n"]: (x["rows"], x["most"]) for x in union([self._read([r]).select(F.lit(r.number).alias("n"), "seq") for r in self._manifest.runs]).groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("most")).collect()}
+        columns = [F.col(f.name).cast("string") if f.dataType.typeName() in ("map", "array", "struct") else f.name for f in self._run_schema().fields]
+        rows = union([self._read([r], check=True).select(F.lit(r.number).alias("n"), "seq", F.xxhash64(*columns).alias("h")) for r in self._manifest.runs])
+        try:  # the hash makes all pages be read
+            sums = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("most"), F.bit_xor("h").alias("h")).collect()
+        except (PySparkException, Py4JJavaError) as e:
+            if "FAILED_READ_FILE" not in str(e):
+                raise
+            raise Corruption(f"a run can't be read: {str(e).splitlines()[0][:200]}") from e
+        found = {x["n"]: (x["rows"], x["most"]) for x in sums}
         for r in self._manifest.runs:
             if found.get(r.number) != (r.n_entries, r.max_sequence):
                 raise Corruption(f"run {r.number} doesn't hold what the manifest says")
@@ -105,9 +115,12 @@ class Store:
     def write_frame(self, mutations: DataFrame, order: list[str], batch_id: tuple[str, int] | None = None) -> int:
         """Commit a DataFrame of mutations (t, the key and the payload) in the order of the columns ``order``.
 
-        batch_id: (stream, number); a number at or below the stream's last one was committed before and does nothing.
+        batch_id: (stream, number); a number at or below the stream's last one was committed before and does nothing. A store in
+        memory whose runs fill ``write_buffer_size`` is frozen.
         """
         self._open()
+        if self.folder is None and sum(r.file_size for r in self._manifest.runs) >= self.options.write_buffer_size:
+            raise Frozen("the store's memory is full")
         if batch_id and batch_id[1] <= self._manifest.batches.get(batch_id[0], -1):
             return self._manifest.last_sequence
         staged = mutations = self._staged(mutations) if self.folder is not None else mutations.persist()  # read several times, evaluated once
@@ -126,7 +139,7 @@ class Store:
         self._publish(self._manifest.edit(set(), [run], last_sequence=run.max_sequence, next_number=run.number + 1, batches=batches, user_bytes=self._manifest.user_bytes + user, flushed_bytes=self._manifest.flushed_bytes + run.file_size))
         if self.folder is not None:
             self._unstage(staged)
-        if self._small() and sum(r.file_size for r in self._small()) >= self.options.write_buffer_size:
+        if self.folder is not None and self._small() and sum(r.file_size for r in self._small()) >= self.options.write_buffer_size:
             self.flush()
         return run.max_sequence
 
@@ -169,12 +182,13 @@ class Store:
 
     # --- reads ----------------------------------------------------------------------------------------------------
 
-    def _read(self, runs: list[Run]) -> DataFrame:
+    def _read(self, runs: list[Run], check: bool = False) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], self._run_schema())
         if self.folder is None:
             return union([self._memory[r.number] for r in runs])
-        return self.spark.read.schema(self._run_schema()).parquet(*[f"{self.folder.path}/runs/{r.path}" for r in runs])
+        reader = self.spark.read.schema(self._run_schema()).option("parquet.page.verify-checksum.enabled", str(check).lower())
+        return reader.parquet(*[f"{self.folder.path}/runs/{r.path}" for r in runs])
 
     def log(self, low: Any = None, high: Any = None) -> DataFrame:
         """All versions of the runs whose key range touches [low, high]; None is open. Runs outside are not even listed."""
@@ -198,7 +212,7 @@ class Store:
         return found.select(*[f.name for f in self.schema.fields])
 
     def prefix(self, prefix, snapshot: Snapshot | int | None = None) -> DataFrame:
-        found = views.prefix_scan(self.log(prefix, prefix + (chr(0x10FFFF) * 4 if isinstance(prefix, str) else b"\xff" * MAX_KEY_BYTES)), prefix, self._as_of(snapshot), self.names)
+        found = views.prefix_scan(self.log(prefix, _after(prefix)), prefix, self._as_of(snapshot), self.names)
         return found.select(*[f.name for f in self.schema.fields])
 
     def get(self, key, snapshot: Snapshot | int | None = None) -> tuple:
@@ -334,7 +348,7 @@ class Store:
         return added, number + len(added)
 
     def _writer(self, rows: DataFrame):
-        writer = rows.sortWithinPartitions(F.col(self.key), F.desc("seq"), F.desc("t")).write
+        writer = rows.sortWithinPartitions(F.col(self.key), F.desc("seq"), F.desc("t")).write.option("parquet.page.write-checksum.enabled", "true")
         if self.options.bloom_bits:
             writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(self.options.expected_keys)).option(f"parquet.bloom.filter.fpp#{self.key}", str(max(0.6185**self.options.bloom_bits, 1e-9)))
         return writer
@@ -389,8 +403,21 @@ class Store:
         return self._manifest
 
 
+def _after(prefix):
+    """The smallest key above all that start with ``prefix`` (str or bytes); None if there is none."""
+    if isinstance(prefix, bytes):
+        rest = prefix.rstrip(b"\xff")
+        return rest[:-1] + bytes([rest[-1] + 1]) if rest else None
+    rest = prefix.rstrip(chr(0x10FFFF))
+    return rest[:-1] + chr(0xE000 if rest[-1] == chr(0xD7FF) else ord(rest[-1]) + 1) if rest else None
+
+
+#: Rows that a cursor fetches at once, in the direction of its step.
+PAGE = 256
+
+
 class Cursor:
-    """A position in the live rows of one snapshot, for a client that steps through a few of them. Every step is a query.
+    """A position in the live rows of one snapshot, for a client that steps through some of them. Rows are fetched a page at a time.
 
     It stands before the first row, on a row (valid), or past the last one.
     """
@@ -398,15 +425,26 @@ class Cursor:
     def __init__(self, store: Store, as_of: int):
         self._log, self._as_of, self._store = store.log(), as_of, store
         self._row, self._past = None, False
+        self._page, self._at = [], 0  # neighbouring rows by key, and which of them the cursor stands on
 
     def _set(self, row, past: bool) -> None:
         self._row, self._past = row, past and row is None
 
     def _one(self, low=None, below=None, last: bool = False, above=None):
+        """The first (or last) row of a range, as the end of a new page."""
         k = F.col(self._store.key)
         log = self._log if above is None else self._log.where(k > F.lit(above))
         found = views.range_scan(log, low, below, self._as_of, self._store.names)
-        return found.orderBy(F.desc(k) if last else k).select(*[f.name for f in self._store.schema.fields]).first()
+        page = found.orderBy(F.desc(k) if last else k).select(*[f.name for f in self._store.schema.fields]).limit(PAGE).collect()
+        self._page, self._at = (page[::-1], len(page) - 1) if last else (page, 0)
+        return self._page[self._at] if page else None
+
+    def _step(self, by: int):
+        """The neighbour on the page, if it is there."""
+        if not 0 <= self._at + by < len(self._page):
+            return None
+        self._at += by
+        return self._page[self._at]
 
     @property
     def valid(self) -> bool:
@@ -429,10 +467,10 @@ class Cursor:
 
     def next(self) -> None:
         if self.valid:
-            self._set(self._one(above=self.key()), past=True)
+            self._set(self._step(1) or self._one(above=self.key()), past=True)
 
     def prev(self) -> None:
         if self.valid:
-            self._set(self._one(below=self.key(), last=True), past=False)
+            self._set(self._step(-1) or self._one(below=self.key(), last=True), past=False)
         elif self._past:
             self.seek_to_last()
