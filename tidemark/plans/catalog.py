@@ -444,7 +444,48 @@ def _bloom(keys: DataFrame, probe: str) -> DataFrame:
     return bucketed.groupBy("bucket").applyInPandas(lambda own: run(own[[name]]), "held long, probes long, hits long")
 
 
-@query("crc32c_of_names")
+@query("bloom_false_positive_bound", "SELECT count(DISTINCT c_name) AS probes, TRUE AS within_bound FROM customer")
+def bloom_false_positive_bound(spark, d):
+    """Whether at most three in a hundred absent keys pass the filters of ten bits a key (0.82 in a hundred are expected)."""
+    found = _bloom(table(spark, d, "customer").select("c_name"), probe="z").agg(F.sum("probes").alias("probes"), F.sum("hits").alias("hits"))
+    return found.select("probes", (F.col("hits") <= 0.03 * F.col("probes") + 3).alias("within_bound"))
+
+
+@query(
+    "key_hash_of_names",
+    """WITH RECURSIVE s AS (
+            SELECT c_custkey, c_name, 0 AS i, xor(CAST(3164544308 AS BIGINT), CAST(length(c_name)::HUGEINT * 3332679571 % 4294967296 AS BIGINT)) AS h FROM customer
+            UNION ALL
+            SELECT c_custkey, c_name, i + 4, xor(m, m >> (CASE WHEN i + 4 <= length(c_name) THEN 16 ELSE 24 END)) FROM (
+                SELECT c_custkey, c_name, i, CAST((h + list_sum(list_transform(range(4), lambda j: CASE WHEN i + j < length(c_name) THEN CAST(ascii(c_name[i + j + 1]) AS BIGINT) << (8 * j) ELSE 0 END)))::HUGEINT % 4294967296 * 3332679571 % 4294967296 AS BIGINT) AS m
+                FROM s WHERE i < length(c_name))
+        )
+        SELECT c_custkey, h AS key_hash FROM s WHERE i >= length(c_name)""",
+)
+def key_hash_of_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", codec.key_hash_column(F.col("c_name").cast("binary")).alias("key_hash"))
+
+
+@query(
+    "internal_keys",
+    """SELECT c_custkey, hex(encode(c_name)) || printf('%02X', c_custkey % 2) || list_aggregate(list_transform(range(7), lambda i: printf('%02X', (c_custkey * 1000003 >> (8 * i)) & 255)), 'string_agg', '') AS internal_key FROM customer""",
+)
+def internal_keys(spark, d):
+    """Name, then the eight little-endian bytes of sequence and kind."""
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("k"), (F.col("c_custkey") * 1000003).alias("s"), (F.col("c_custkey") % 2).cast("int").alias("t"))
+    return rows.select("c_custkey", F.hex(codec.internal_key_column("k", "s", "t")).alias("internal_key"))
+
+
+@query(
+    "crc32c_of_names",
+    """WITH RECURSIVE s AS (
+            SELECT c_custkey, c_name, 0 AS i, CAST(4294967295 AS BIGINT) AS x FROM customer
+            UNION ALL
+            SELECT c_custkey, c_name, i + 1, CASE WHEN y % 2 = 1 THEN xor(y // 2, CAST(2197175160 AS BIGINT)) ELSE y // 2 END
+            FROM (SELECT c_custkey, c_name, i, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(c_name[i // 8 + 1]) AS BIGINT)) ELSE x END AS y FROM s WHERE i < 8 * length(c_name))
+        )
+        SELECT c_custkey, xor(x, CAST(4294967295 AS BIGINT)) AS crc32c FROM s WHERE i = 8 * length(c_name)""",
+)
 def crc32c_of_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", codec.crc32c_column(F.col("c_name").cast("binary")).alias("crc32c"))
 
@@ -497,6 +538,59 @@ def store_snapshot(spark, d):
     return store.scan(snapshot=snapshot)
 
 
+@query("store_put_delete", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS v FROM region WHERE r_regionkey % 2 = 0")
+def store_put_delete(spark, d):
+    """The regions written as single puts, every other one deleted, the small runs flushed, and all read back by another store on the folder.
+
+    region is a table of fixed size, so a commit for each of its rows is bounded."""
+    from ..sources.store import Store
+
+    schema = "k long, v string"
+    folder, schema = _folder(spark, "store"), spark.createDataFrame([], schema).schema
+    store = Store.open(spark, folder, schema)
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
+        store.put(r["r_regionkey"], r["r_name"])
+        if r["r_regionkey"] % 2:
+            store.delete(r["r_regionkey"])
+    store.flush()
+    store.close()
+    return Store.open(spark, folder, schema).scan()
+
+
+@query(
+    "batch_build",
+    """WITH e AS (SELECT r_regionkey, r_name, r_regionkey % 2 = 0 AS put FROM region)
+        SELECT count(*) AS n, CAST(12 + sum(CASE WHEN put THEN 3 + 8 + length(r_name) ELSE 2 + 8 END) AS BIGINT) AS bytes,
+               CAST(sum(CASE WHEN put THEN 8 + length(r_name) ELSE 8 END) AS BIGINT) AS user_bytes, string_agg(CASE WHEN put THEN 'put ' || r_regionkey || ' ' || r_name ELSE 'delete ' || r_regionkey END, ', ' ORDER BY r_regionkey) AS entries,
+               CAST(0 AS BIGINT) AS n_cleared FROM e""",
+)
+def batch_build(spark, d):
+    """A batch of puts and deletes of the regions: how many, its bytes, what iterating says, and how many are left once it is cleared."""
+    own, said = batch.WriteBatch(), []
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
+        own.delete(r["r_regionkey"]) if r["r_regionkey"] % 2 else own.put(r["r_regionkey"], r["r_name"])
+    n, _, user = own.validate()
+    own.iterate(lambda k, v: said.append(f"put {k} {v}"), lambda k: said.append(f"delete {k}"))
+    size = own.byte_size()
+    own.clear()
+    return spark.createDataFrame([(n, size, user, ", ".join(said), len(own))], "n long, bytes long, user_bytes long, entries string, n_cleared long")
+
+
+@query("cursor_walk", f"WITH {_EV}, {_LIVE}, n AS (SELECT k, v, row_number() OVER (ORDER BY k) AS i FROM live) SELECT i AS step, k, v FROM n WHERE i <= 40")
+def cursor_walk(spark, d):
+    """The first 40 live rows as a client sees them that steps through the store: the steps are the feature."""
+    from ..sources.store import Store
+
+    store = Store.open(spark, _folder(spark, "store"), _event_schema(spark, d))
+    store.write_frame(events_log(spark, d).withColumnRenamed("seq", "ord"), ["ord"])
+    cursor, seen = store.iterator(), []
+    cursor.seek_to_first()
+    while cursor.valid and len(seen) < 40:
+        seen.append((len(seen) + 1, cursor.key(), cursor.value()[0]))
+        cursor.next()
+    return spark.createDataFrame(seen, "step long, k long, v double")
+
+
 @query("stream_ingest", f"WITH {_EV}, {_LIVE} SELECT k, v, ts FROM live")
 def stream_ingest(spark, d):
     """Events read as a stream, committed by micro-batch, and read back."""
